@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.bpe import encode_documents, token_counts
 from tracewell.llm.common import read
+from tracewell.llm.line_dedup import line_dedup
+from tracewell.llm.mixing import BLOCK_DOCS, frame_order, mix, shares
 from tracewell.llm.quality import quality_verdicts
+from tracewell.llm.token_counts import length_table
 from tracewell.llm.url_filter import url_verdicts
 
 URL_RULES = [
@@ -16,6 +21,10 @@ URL_RULES = [
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 ]
+#: Target weights of the mixture; the other sources share the rest equally.
+WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.08}
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +42,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("copy")
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"), RANKS, PATTERN, ["doc_id"])
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mix(read(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
+    return placed.select("doc_id", "source", "block", "slot", F.col("offset").alias("in_block"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_table(token_counts(read(spark, sf_dir, "documents"), RANKS, PATTERN))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_chunks", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5")
+    )
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -52,5 +80,53 @@ SELECT page_id, host, path,
 FROM p
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op10_url_filters": op10_url_filters}
-ORACLES = {"op10_url_filters": OP10_SQL}
+_SOURCES = [f"src{i}" for i in range(20)]
+_PLACES = shares(_SOURCES, WEIGHTS)
+OP6_SQL = f"""
+WITH pattern(source, b, place) AS (VALUES {", ".join(f"('{s}', {b}, {i})" for i, (s, b) in enumerate(frame_order(_PLACES)))}),
+share(source, q) AS (VALUES {", ".join(f"('{s}', {q})" for s, q in _PLACES.items())}),
+d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS n
+  FROM documents)
+SELECT doc_id, d.source, n // {BLOCK_DOCS} AS block, (n // {BLOCK_DOCS}) // q * {sum(_PLACES.values())} + place AS slot,
+       n % {BLOCK_DOCS} AS in_block
+FROM d JOIN share USING (source) JOIN pattern p ON p.source = d.source AND p.b = (n // {BLOCK_DOCS}) % q
+"""
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+hashed AS (
+  SELECT *, md5(line) AS h, lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i) AS before,
+         max(i) OVER (PARTITION BY doc_id) AS last
+  FROM lines),
+ends AS (
+  SELECT *, CASE WHEN substr(md5(coalesce(before, '') || h), 1, 1) IN ('0', '1', '2', '3') OR i = last THEN 1 ELSE 0 END AS ended
+  FROM hashed),
+numbered AS (
+  SELECT *, coalesce(sum(ended) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+  FROM ends),
+chunks AS (
+  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk,
+         count(*) FILTER (regexp_matches(line, '[^ 	
+
+]')) >= 2 AS counts
+  FROM numbered GROUP BY doc_id, k),
+judged AS (
+  SELECT *, counts AND row_number() OVER (PARTITION BY chunk, counts ORDER BY doc_id, k) > 1 AS removed FROM chunks)
+SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (removed) AS n_removed,
+       md5(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT removed), '')) AS kept_md5
+FROM judged GROUP BY doc_id
+"""
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_token_counts": op7_token_counts,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_url_filters": op10_url_filters,
+}
+ORACLES = {"op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
