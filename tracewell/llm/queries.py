@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.bpe import encode_documents, token_counts
 from tracewell.llm.common import read
 from tracewell.llm.line_dedup import line_dedup
+from tracewell.llm.minhash import near_duplicates
 from tracewell.llm.mixing import BLOCK_DOCS, frame_order, mix, shares
 from tracewell.llm.quality import quality_verdicts
 from tracewell.llm.token_counts import length_table
@@ -46,6 +47,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), RANKS, PATTERN, ["doc_id"])
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mix(read(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
     return placed.select("doc_id", "source", "block", "slot", F.col("offset").alias("in_block"))
@@ -121,12 +126,37 @@ SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (removed) AS n_removed,
 FROM judged GROUP BY doc_id
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^ \t\n\x0b\x0c\r]+') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+                 ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS s
+  FROM w),
+each AS (SELECT doc_id, unnest(s) AS g FROM sets),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * common >= 80 * (p.n + q.n - common)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, y FROM reach r JOIN links ON x = r.other)
+SELECT r.doc_id, any_value(n) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+FROM reach r JOIN sizes ON sizes.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES = {"op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
+ORACLES = {"op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
