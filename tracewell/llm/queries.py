@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.bpe import encode_documents, token_counts
 from tracewell.llm.common import read
+from tracewell.llm.embedding_dedup import near_vectors
 from tracewell.llm.line_dedup import line_dedup
 from tracewell.llm.minhash import near_duplicates
 from tracewell.llm.mixing import BLOCK_DOCS, frame_order, mix, shares
@@ -66,6 +67,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -150,6 +155,21 @@ SELECT r.doc_id, any_value(n) AS n_shingles, min(other) AS component_id, r.doc_i
 FROM reach r JOIN sizes ON sizes.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, y FROM reach r JOIN links ON x = r.other)
+SELECT r.vec_id, (SELECT count(*) FROM links WHERE x = r.vec_id) AS n_links, min(other) AS component_id,
+       r.vec_id = min(other) AS kept
+FROM reach r GROUP BY r.vec_id
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
@@ -157,6 +177,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES = {"op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
+ORACLES = {"op9_embedding_near_dedup": OP9_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
