@@ -13,6 +13,7 @@ from tracewell.llm.line_dedup import line_dedup
 from tracewell.llm.minhash import near_duplicates
 from tracewell.llm.mixing import BLOCK_DOCS, frame_order, mix, shares
 from tracewell.llm.quality import quality_verdicts
+from tracewell.llm.substring_dedup import substring_dedup
 from tracewell.llm.token_counts import length_table
 from tracewell.llm.url_filter import url_verdicts
 
@@ -44,6 +45,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("copy")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"), texts=False)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), RANKS, PATTERN, ["doc_id"])
 
@@ -170,8 +175,26 @@ SELECT r.vec_id, (SELECT count(*) FROM links WHERE x = r.vec_id) AS n_links, min
 FROM reach r GROUP BY r.vec_id
 """
 
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(words[s:s + 49], ' ') AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM w WHERE len(words) >= 50)),
+least AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM windows JOIN least USING (k) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM hit),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t, count(*) AS n
+         FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i WHERE g.i IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
@@ -180,4 +203,4 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES = {"op9_embedding_near_dedup": OP9_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op9_embedding_near_dedup": OP9_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
