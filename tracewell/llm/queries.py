@@ -12,6 +12,7 @@ from tracewell.llm.embedding_dedup import near_vectors
 from tracewell.llm.line_dedup import line_dedup
 from tracewell.llm.minhash import near_duplicates
 from tracewell.llm.mixing import BLOCK_DOCS, frame_order, mix, shares
+from tracewell.llm.pii import pseudonymise
 from tracewell.llm.quality import quality_verdicts
 from tracewell.llm.substring_dedup import substring_dedup
 from tracewell.llm.token_counts import length_table
@@ -26,6 +27,8 @@ URL_RULES = [
 ]
 #: Target weights of the mixture; the other sources share the rest equally.
 WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.08}
+#: Stands for the secret key, which an operator's user passes in.
+PSEUDONYM_KEY = "key for tests only"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
@@ -49,6 +52,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), texts=False)
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(documents, PSEUDONYM_KEY).select("doc_id", "n_found", "n_replaced", "text")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), RANKS, PATTERN, ["doc_id"])
 
@@ -195,6 +203,7 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
