@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import let
+from tracewell.llm.common import cut, let
 
 ROLL = 2
 #: A chunk ends at one line hash in ``16 / len(ENDS)``.
@@ -67,7 +67,7 @@ def repeated_chunks(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFra
         .filter("first != last")
         .select("key", "first")
     )
-    members = rows.join(groups, "key")
+    members = cut(rows.join(groups, "key"))
     texts = members.filter(F.col("first") == F.struct("doc_id", "at")).groupBy("key").agg(F.first("chunk").alias("kept"))
     same = members.filter(F.col("first") != F.struct("doc_id", "at")).join(texts, "key").filter("chunk = kept")
     return same.select("doc_id", "at").distinct()
