@@ -22,7 +22,7 @@ BLOCK_DOCS = 16
 FRAME = 1000
 MAX_SOURCES = 10_000
 #: Documents that are numbered together.
-GROUP_DOCS = 20_000
+GROUP_DOCS = 1000
 
 
 def shares(sources: list[str], weights: dict[str, float], frame: int = FRAME) -> dict[str, int]:
