@@ -1,20 +1,29 @@
-"""Queries over the driver's tables, one for each operator, with their SQL."""
+"""Queries over the driver's tables: one for each operator, with the same result in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under ``name``, with its SQL."""
+
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return add
 
-def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"q01_flow_stats_peak_rate": q01}
-ORACLES: dict[str, str] = {"q01_flow_stats_peak_rate": "SELECT user_id, count(*) AS n FROM events GROUP BY 1"}
+from tracewell.plans import flows, relations, signals  # noqa: E402,F401
