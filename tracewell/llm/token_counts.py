@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import cut
+
 BLOCK = 1024
 
 
@@ -21,12 +23,8 @@ def length_table(lengths: DataFrame) -> DataFrame:
     Sums run from the longest length down: inside blocks of lengths first, then
     over the few block totals, so that no task gets all rows.
     """
-    histogram = (
-        lengths.filter("n_tokens is not null")
-        .groupBy("n_tokens")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-        .withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
-    )
+    counted = lengths.filter("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    histogram = cut(counted).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = histogram.groupBy("block").agg(
         F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens")
     )
