@@ -172,10 +172,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     doc_id take part in nothing and are kept. Rows with one doc_id and
     different texts are judged each for itself.
 
-    First every class is compared with the most similar one among the smallest
-    and the largest member of its bands; components of these links settle most
-    bands. In bands that still hold several components, all pairs across
-    components are estimated and, unless far below the limit, confirmed.
+    First every class is compared with the most similar one among the centres
+    and the smallest members of its bands; components of these links settle most
+    bands. In bands that still hold several components, pairs across components
+    are estimated; the best of each member is confirmed, then all that are left
+    between different components and not far below the limit.
     """
     features = cut(set_features(documents, width))
     classes = cut(
@@ -184,8 +185,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     )
     members = classes.select("id", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    members = cut(members.join(shared, "band"))
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).filter("size > 1")
+    members = cut(members.join(sizes, "band"))
+    # A text from which others were made stands in the largest bands of its copies.
+    weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    centres = (
+        members.join(weights, "id")
+        .groupBy("band")
+        .agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("centre"))
+        .select("band", (-F.col("centre.minus")).alias("centre"))
+    )
     signed = cut(
         classes.select("id", "signature").join(members.select("id").distinct(), "id", "left_semi")
     )
@@ -197,7 +206,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     floor = percent / 100 - SLACK
 
     spokes = (
-        members.select("id", F.explode(F.array("low", "high")).alias("other")).filter("id != other").distinct()
+        members.join(centres, "band")
+        .select("id", F.explode(F.array("centre", "low")).alias("other"))
+        .filter("id != other")
+        .distinct()
     )
     best = (
         spokes.join(signed.withColumnRenamed("signature", "s"), "id")
@@ -224,15 +236,25 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     rest = cut(labelled.join(open_bands, "band", "left_semi").join(signed, "id"))
     one = rest.select("band", F.col("id").alias("a"), F.col("component").alias("x"), F.col("signature").alias("s"))
     two = rest.select("band", F.col("id").alias("b"), F.col("component").alias("y"), F.col("signature").alias("t"))
-    across = (
-        one.join(two, "band")
-        .filter("x < y")
-        .filter(estimate(F.col("s"), F.col("t")) >= floor)
+    near = estimate(F.col("s"), F.col("t"))
+    across = cut(
+        one.join(two, "band").filter("x < y").withColumn("near", near).filter(F.col("near") >= floor).select("a", "b", "near").distinct()
+    )
+    # The most similar pair of each member first: what it joins needs no more pairs.
+    ends = across.select(F.explode(F.array("a", "b")).alias("id"), "near", "a", "b")
+    first = ends.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("pair"))
+    links = cut(links.unionByName(_confirmed(first.select("pair.*").distinct(), sets, percent)))
+    found = components(links)
+    side = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(c + c))
+    still = (
+        across.join(side("a"), "a", "left")
+        .join(side("b"), "b", "left")
+        .filter(F.coalesce("aa", "a") != F.coalesce("bb", "b"))
         .select("a", "b")
-        .distinct()
     )
-    more = cut(_confirmed(across, sets, percent))
-    found = components(links.unionByName(more))
+    more = cut(_confirmed(still, sets, percent))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     of_class = classes.join(found, "id", "left").select(
         "set_a", "set_b", F.coalesce("component_id", "id").alias("component_id")
