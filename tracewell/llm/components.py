@@ -11,9 +11,10 @@ from tracewell.llm.common import cut
 def components(links: DataFrame) -> DataFrame:
     """(id, component_id) for every id in ``links`` (a, b): the smallest id that is reachable.
 
-    Each round maps every node to its smallest neighbour's smallest neighbour
-    and contracts the graph; edges inside a contracted node vanish. Rounds grow
-    with the logarithm of the longest chain. Nothing is collected.
+    In each round every node points to its smallest neighbour; pointers are
+    doubled until all reach the end of their path, and the graph is contracted
+    to these ends. Rounds, and doublings in a round, grow with the logarithm of
+    the size of a component, also for long chains. Nothing is collected.
     """
     edges = cut(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
@@ -21,8 +22,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         down = both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
         down = cut(down)
-        jump = down.join(down.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select("a", "far")
-        jump = cut(jump)
+        while True:
+            ahead = down.select(F.col("a").alias("to"), F.col("to").alias("far"))
+            jump = cut(down.join(ahead, "to"))
+            if jump.filter("far != to").isEmpty():
+                break
+            down = jump.select("a", F.col("far").alias("to"))
         if labels is None:
             labels = jump.select(F.col("a").alias("id"), F.col("far").alias("component_id"))
         else:
