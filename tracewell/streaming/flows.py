@@ -43,8 +43,9 @@ def tracked_sequences(packets: DataFrame, idle: str = "30 seconds") -> DataFrame
             state.remove()
             return
         packets_n, first, highest, seen, unique, late, repeats = state.get if state.exists else (0, None, None, [], 0, 0, 0)
-        seen = set(seen)
+        seen, latest = set(seen), state.getCurrentWatermarkMs()
         for rows in batches:
+            latest = max(latest, int(rows["ts"].max().timestamp() * 1000))
             for ext in rows.sort_values("number")["ext"].tolist():
                 packets_n += 1
                 first = ext if first is None else first
@@ -58,7 +59,7 @@ def tracked_sequences(packets: DataFrame, idle: str = "30 seconds") -> DataFrame
                 highest = ext if highest is None else max(highest, ext)
         low = highest - WINDOW
         state.update((packets_n, first, highest, sorted(x for x in seen if x > low), unique, late, repeats))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + wait)
+        state.setTimeoutTimestamp(latest + wait)
         lost = highest - first + 1 - unique
         yield pd.DataFrame([(key[0], packets_n, lost, repeats, late, highest)], columns=[f.split()[0] for f in TRACKED.split(", ")])
 
