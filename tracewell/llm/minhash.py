@@ -26,6 +26,8 @@ HASHES = BANDS * ROWS
 BITS = 2
 #: The estimate deviates by 0.04 (one sigma) at 0.8: candidates below 0.6 are five sigmas away.
 SLACK = 0.2
+#: Bands with more members are compared in blocks; a block holds about so many sets and shingles at most.
+LARGE, BLOCK_SETS, BLOCK_SHINGLES = 64, 512, 1 << 20
 
 
 def _shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +163,99 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
+def _links_in_block(
+    band: int, ids: np.ndarray, components_of: np.ndarray, signature: np.ndarray, bands: np.ndarray, sets: list[np.ndarray],
+    left: np.ndarray, right: np.ndarray, percent: int, floor: float,
+) -> list[tuple[int, int]]:
+    """Links between different components, enough to connect all that are linked.
+
+    A pair is looked at in the first band that it shares.
+    """
+    odd, chance = np.uint64(0x5555555555555555), 1 / (1 << BITS)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    links = []
+    for i in left:
+        others = right[(components_of[right] != components_of[i]) & ((right > i) | (left is not right))]
+        if not len(others):
+            continue
+        x = signature[others] ^ signature[i]
+        differing = np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1)
+        near = ((1 - differing / HASHES) - chance) / (1 - chance)
+        good = near >= floor
+        others, near = others[good], near[good]
+        shared = bands[others] == bands[i]
+        first = bands[i][shared.argmax(axis=1)] == band if len(others) else np.zeros(0, bool)
+        others, near = others[first], near[first]
+        for j in others[np.argsort(-near, kind="stable")]:
+            a, b = root(components_of[i]), root(components_of[j])
+            if a == b:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def _linked_in_blocks(rows: DataFrame, percent: int, floor: float) -> DataFrame:
+    """Links (a, b) inside large bands, from (band, id, component, signature, bands, shingles).
+
+    Members outside a band's largest component meet all others, block by block:
+    what a task holds is bounded, and it sends links, not pairs.
+    """
+    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("s"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_SETS, s / BLOCK_SHINGLES)).cast("int")
+    shape = (
+        parts.groupBy("band")
+        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("most"))
+        .select(
+            "band",
+            F.col("most.component").alias("main"),
+            blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("k"),
+            blocks(F.col("most.n"), F.col("most.s")).alias("l"),
+        )
+    )
+    placed = rows.join(shape, "band").withColumn("minor", F.col("component") != F.col("main"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("k")).otherwise(F.col("l"))).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("minor"), block).otherwise(F.col("k") + block))
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    meets = F.when(
+        F.col("minor"),
+        F.transform(
+            F.sequence(F.lit(0), F.col("k") + F.col("l") - 1), lambda j: pair(F.least(F.col("block"), j), F.greatest(F.col("block"), j))
+        ),
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: pair(i, F.col("block"))))
+    names = ["band", "p", "q", "id", "component", "signature", "bands", "shingles", "block"]
+    met = placed.withColumn("meet", F.explode(meets)).select(
+        "band", "meet.p", "meet.q", *names[3:]
+    )
+
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        band, p, q = (k.as_py() for k in key)
+        column = lambda n: table.column(n).combine_chunks()
+        lists = column("shingles")
+        edges = lists.offsets.to_numpy()
+        values = lists.flatten().to_numpy()
+        sets = [values[a - edges[0] : b - edges[0]] for a, b in zip(edges, edges[1:])]
+        block = column("block").to_numpy()
+        left = np.flatnonzero(block == p)
+        right = left if p == q else np.flatnonzero(block == q)
+        matrix = lambda n: column(n).flatten().to_numpy().reshape(len(block), -1)
+        links = _links_in_block(
+            band, column("id").to_numpy(), column("component").to_numpy(), matrix("signature").astype(np.uint64), matrix("bands"),
+            sets, left, right, percent, floor,
+        )
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return met.groupBy("band", "p", "q").applyInArrow(join, "a bigint, b bigint")
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``documents``.
 
@@ -176,7 +271,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     and the smallest members of its bands; components of these links settle most
     bands. In bands that still hold several components, pairs across components
     are estimated; the best of each member is confirmed, then all that are left
-    between different components and not far below the limit.
+    between different components and not far below the limit. Bands with more
+    than ``LARGE`` members do the same inside blocks, without sending pairs.
     """
     features = cut(set_features(documents, width))
     classes = cut(
@@ -229,11 +325,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     )
     open_bands = (
         labelled.groupBy("band")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
         .filter("x < y")
-        .select("band")
+        .select("band", (F.col("members") > LARGE).alias("large"))
     )
-    rest = cut(labelled.join(open_bands, "band", "left_semi").join(signed, "id"))
+    opened = cut(labelled.join(open_bands, "band"))
+    rest = opened.filter("not large").join(signed, "id")
     one = rest.select("band", F.col("id").alias("a"), F.col("component").alias("x"), F.col("signature").alias("s"))
     two = rest.select("band", F.col("id").alias("b"), F.col("component").alias("y"), F.col("signature").alias("t"))
     near = estimate(F.col("s"), F.col("t"))
@@ -243,7 +340,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     # The most similar pair of each member first: what it joins needs no more pairs.
     ends = across.select(F.explode(F.array("a", "b")).alias("id"), "near", "a", "b")
     first = ends.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("pair"))
-    links = cut(links.unionByName(_confirmed(first.select("pair.*").distinct(), sets, percent)))
+    hot = opened.filter("large").select("band", "id", "component")
+    hot = hot.join(classes.select("id", "signature", "bands"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    in_blocks = _linked_in_blocks(hot, percent, floor)
+    links = cut(links.unionByName(_confirmed(first.select("pair.*").distinct(), sets, percent)).unionByName(in_blocks))
     found = components(links)
     side = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(c + c))
     still = (
