@@ -27,7 +27,7 @@ BITS = 2
 #: The estimate deviates by 0.04 (one sigma) at 0.8: candidates below 0.6 are five sigmas away.
 SLACK = 0.2
 #: Bands with more members are compared in blocks; a block holds about so many sets and shingles at most.
-LARGE, BLOCK_SETS, BLOCK_SHINGLES = 64, 512, 1 << 20
+LARGE, BLOCK_SETS, BLOCK_SHINGLES = 16, 512, 1 << 20
 
 
 def _shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,8 +270,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     First every class is compared with the most similar one among the centres
     and the smallest members of its bands; components of these links settle most
     bands. In bands that still hold several components, pairs across components
-    are estimated; the best of each member is confirmed, then all that are left
-    between different components and not far below the limit. Bands with more
+    are estimated and, unless far below the limit, confirmed. Bands with more
     than ``LARGE`` members do the same inside blocks, without sending pairs.
     """
     features = cut(set_features(documents, width))
@@ -291,12 +290,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("centre"))
         .select("band", (-F.col("centre.minus")).alias("centre"))
     )
-    signed = cut(
-        classes.select("id", "signature").join(members.select("id").distinct(), "id", "left_semi")
-    )
+    signed = classes.select("id", "signature")
     sets = cut(
         shingle_sets(
-            documents.select("doc_id", "text").join(signed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), width
+            documents.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width
         ).dropDuplicates(["doc_id"])
     )
     floor = percent / 100 - SLACK
@@ -334,25 +331,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     one = rest.select("band", F.col("id").alias("a"), F.col("component").alias("x"), F.col("signature").alias("s"))
     two = rest.select("band", F.col("id").alias("b"), F.col("component").alias("y"), F.col("signature").alias("t"))
     near = estimate(F.col("s"), F.col("t"))
-    across = cut(
-        one.join(two, "band").filter("x < y").withColumn("near", near).filter(F.col("near") >= floor).select("a", "b", "near").distinct()
-    )
-    # The most similar pair of each member first: what it joins needs no more pairs.
-    ends = across.select(F.explode(F.array("a", "b")).alias("id"), "near", "a", "b")
-    first = ends.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("pair"))
+    across = one.join(two, "band").filter("x < y").filter(near >= floor).select("a", "b").distinct()
     hot = opened.filter("large").select("band", "id", "component")
     hot = hot.join(classes.select("id", "signature", "bands"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
-    in_blocks = _linked_in_blocks(hot, percent, floor)
-    links = cut(links.unionByName(_confirmed(first.select("pair.*").distinct(), sets, percent)).unionByName(in_blocks))
-    found = components(links)
-    side = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(c + c))
-    still = (
-        across.join(side("a"), "a", "left")
-        .join(side("b"), "b", "left")
-        .filter(F.coalesce("aa", "a") != F.coalesce("bb", "b"))
-        .select("a", "b")
-    )
-    more = cut(_confirmed(still, sets, percent))
+    more = cut(_confirmed(across, sets, percent).unionByName(_linked_in_blocks(hot, percent, floor)))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
