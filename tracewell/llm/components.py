@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import cut
 
 
+def _two_steps(pointers: DataFrame) -> DataFrame:
+    """(a, to, far): where each pointer leads, and where that one's own leads."""
+    return pointers.join(pointers.select(F.col("a").alias("to"), F.col("to").alias("far")), "to")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component_id) for every id in ``links`` (a, b): the smallest id that is reachable.
 
@@ -21,13 +26,9 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         down = both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
-        down = cut(down)
-        while True:
-            ahead = down.select(F.col("a").alias("to"), F.col("to").alias("far"))
-            jump = cut(down.join(ahead, "to"))
-            if jump.filter("far != to").isEmpty():
-                break
-            down = jump.select("a", F.col("far").alias("to"))
+        jump = cut(_two_steps(down))
+        while not jump.filter("far != to").isEmpty():
+            jump = cut(_two_steps(jump.select("a", F.col("far").alias("to"))))
         if labels is None:
             labels = jump.select(F.col("a").alias("id"), F.col("far").alias("component_id"))
         else:

@@ -331,10 +331,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     one = rest.select("band", F.col("id").alias("a"), F.col("component").alias("x"), F.col("signature").alias("s"))
     two = rest.select("band", F.col("id").alias("b"), F.col("component").alias("y"), F.col("signature").alias("t"))
     near = estimate(F.col("s"), F.col("t"))
-    across = one.join(two, "band").filter("x < y").filter(near >= floor).select("a", "b").distinct()
+    across = cut(one.join(two, "band").filter("x < y").filter(near >= floor).select("a", "b").distinct())
     hot = opened.filter("large").select("band", "id", "component")
     hot = hot.join(classes.select("id", "signature", "bands"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
-    more = cut(_confirmed(across, sets, percent).unionByName(_linked_in_blocks(hot, percent, floor)))
+    more = cut(_confirmed(across, sets, percent)).unionByName(cut(_linked_in_blocks(hot, percent, floor)))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
