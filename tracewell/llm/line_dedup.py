@@ -4,6 +4,9 @@ A rolling hash over the last ``ROLL`` line hashes ends a chunk where it falls
 into a fixed class, so that boundaries move along with inserted lines. Chunks
 of several lines are grouped by hash over the whole corpus; each is compared
 byte by byte with the group's first one before it is removed.
+
+Chunks find a short passage only if boundaries fall inside it. ``passage_dedup``
+needs no boundaries: it compares every two neighbouring lines.
 """
 
 from __future__ import annotations
@@ -99,3 +102,63 @@ def line_dedup(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             "text": F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rebuilt(F.col("_chunks"))),
         }
     ).drop("_id", "_removed", "_chunks")
+
+
+def _pairs(text: Column) -> Column:
+    """Neighbouring lines with a word, and the blank ones between them: first and last line, key."""
+    return let(
+        F.split(F.coalesce(text, F.lit("")), "\n"),
+        lambda lines: let(
+            F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^ \t-\r]")),
+            lambda at: F.transform(
+                F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))),
+                lambda a, k: let(
+                    F.get(at, k + 1),
+                    lambda b: F.struct(
+                        a.alias("a"),
+                        b.alias("b"),
+                        F.unhex(F.sha2(F.array_join(F.slice(lines, a + 1, b - a + 1), "\n"), 256)).alias("key"),
+                    ),
+                ),
+            ),
+        ),
+    )
+
+
+def passage_dedup(documents: DataFrame) -> DataFrame:
+    """``documents`` with every repeated passage of two or more lines taken out of ``text``, and the column n_removed.
+
+    A line is removed if it lies in two neighbouring lines with words that also
+    stand, with the same blank lines between them, at a smaller (doc_id, text
+    hash, line); so each passage stays once, wherever it begins and ends. Pairs
+    are equal if their SHA-256 is. Passages with one line that holds a word
+    stay. Null texts stay null. Rows with one doc_id and one text count as one
+    document; rows without an id are left as they are.
+    """
+    hashed = documents.withColumn("_hash", F.xxhash64("text"))
+    pairs = (
+        documents.filter("doc_id is not null")
+        .select("doc_id", F.xxhash64("text").alias("hash"), F.explode(_pairs(F.col("text"))).alias("pair"))
+        .select("doc_id", "hash", "pair.*")
+    )
+    at = F.struct("doc_id", "hash", "a")
+    groups = pairs.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first != last")
+    removed = (
+        pairs.join(groups.select("key", "first"), "key")
+        .filter(F.col("first") != at)
+        .groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"))
+        .agg(F.collect_set(F.struct("a", "b")).alias("_removed"))
+    )
+    joined = hashed.join(removed, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
+    gone = F.array_distinct(F.flatten(F.transform("_removed", lambda r: F.sequence(r["a"], r["b"]))))
+
+    def rebuilt(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    return joined.withColumn("_gone", gone).withColumns(
+        {
+            "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")),
+            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rebuilt)),
+        }
+    ).drop("_id", "_of", "_hash", "_removed", "_gone")
