@@ -1,10 +1,14 @@
 """Corpus operators and pipeline stages on the cases of the first review."""
 
+import collections
 import random
+from fractions import Fraction
+
+import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import table
-from tracewell.llm import line_dedup
+from tracewell.llm import line_dedup, mixing
 
 
 # Lines
@@ -37,3 +41,47 @@ def test_passages_of_one_id_with_two_texts(spark):
     assert twice == [(0, "p\nq"), (1, "p\nq\nr"), (2, "u\nv"), (2, "u\nv")]
     rows = line_dedup.passage_dedup(table(spark, ["a\nb\nc\nd", "x\ny\nz\na\nb"], ids=[5, 5])).collect()
     assert sum(r.n_removed for r in rows) == 2 and sorted(len(r.text.split("\n")) for r in rows) in ([2, 5], [3, 4])
+
+
+# Mixing
+
+
+@pytest.mark.parametrize("n", [3, 20, 200, 500])
+def test_shares_keep_to_the_given_weights(n):
+    sources = [f"s{i}" for i in range(n)]
+    given = {"s0": 0.15, "s1": 0.1, "s2": 0.08}
+    if n == 20:
+        given["s3"] = 0
+    places = mixing.shares(sources, given)
+    order = mixing.frame_order(places)
+    rest = (1 - Fraction(33, 100)) / max(n - len(given), 1)
+    weight = {s: Fraction(str(given[s])) if s in given else rest for s in sources}
+    total = sum(weight.values())
+    taken = collections.Counter()
+    blocks = order * 3 if n <= 20 else order[:3000]
+    for t, (source, _) in enumerate(blocks, 1):
+        taken[source] += 1
+        assert all(abs(taken[s] - weight[s] / total * t) < 1 for s in (*sources[:4], source) if s in weight)
+
+
+def test_rounded_weights_and_weights_of_nothing():
+    places = mixing.shares(["a", "b", "c"], {"a": 0.123456789, "b": 1e-5, "c": 0.3})
+    total = 0.123456789 + 1e-5 + 0.3
+    assert places["b"] > 0 and abs(places["a"] / sum(places.values()) - 0.123456789 / total) < 1e-5
+    assert mixing.shares(["a", "b", "c"], {"a": 1 / 3, "b": 0.5}) == {"a": 2, "b": 3, "c": 1}
+    assert mixing.shares(["a", "b"], {"a": 1, "b": 0}) == {"a": 1, "b": 0}
+    assert mixing.shares(["a"], {"a": 0}) == {"a": 0}
+
+
+def test_sources_of_weight_0_take_what_is_left_over(spark):
+    docs = table(spark, ["t"] * 26, sources=["a"] * 12 + ["z"] * 7 + ["y"] * 7)
+    rows = sorted((r.slot, r.offset, r.source) for r in mixing.mix(docs, {"a": 1, "z": 0, "y": 0}, block_docs=2).collect())
+    assert [s for _, _, s in rows] == ["a"] * 12 + ["y", "y", "z", "z"] * 3 + ["y", "z"]
+    assert len({r[:2] for r in rows}) == 26
+
+
+def test_large_patterns_are_not_in_the_plan(spark, monkeypatch):
+    docs = table(spark, ["t"] * 60, sources=["a"] * 30 + ["b"] * 30)
+    usual = sorted((r.doc_id, r.slot, r.offset) for r in mixing.mix(docs, {"a": 0.3}, block_docs=2).collect())
+    monkeypatch.setattr(mixing, "IN_PLAN", 3)
+    assert sorted((r.doc_id, r.slot, r.offset) for r in mixing.mix(docs, {"a": 0.3}, block_docs=2).collect()) == usual

@@ -5,15 +5,18 @@ to take one before ceil((j + 1) / w). Of the blocks that are released, the one
 with the earliest deadline goes next. At every place, each source that has not
 run out has then taken its share to within one block.
 
-Weights are whole shares of a frame of places, so the order of one frame is the
-order of all; it depends on the weights alone.
+Weights are whole shares of a frame of places that holds them exactly, so the
+order of one frame is the order of all; it depends on the weights alone.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,27 +24,53 @@ from pyspark.sql import functions as F
 BLOCK_DOCS = 16
 FRAME = 1000
 MAX_SOURCES = 10_000
+#: Places in a frame at most, and places for one of ``FRAME`` where weights have to be rounded.
+MAX_PLACES, FINER = 1 << 20, 64
+#: Rows of a table that stands in the plan; larger ones are sent as Arrow batches.
+IN_PLAN = 10_000
 #: Documents that are numbered together.
 GROUP_DOCS = 1000
 
 
-def shares(sources: list[str], weights: dict[str, float], frame: int = FRAME) -> dict[str, int]:
-    """Places of each source in a frame, by largest remainder, one at least.
+def _fraction(weight: float) -> Fraction:
+    """The weight as it is written: 0.15 is 3/20, and 1 / 3 is a third."""
+    exact = Fraction(repr(float(weight)))
+    near = exact.limit_denominator(10_000)
+    return max(near if abs(near - exact) < Fraction(1, 10**15) else exact, Fraction(0))
+
 
-    Sources without a weight share what is left of 1 equally, or the least
-    weight where nothing is left.
+def shares(sources: list[str], weights: dict[str, float], frame: int = FRAME) -> dict[str, int]:
+    """Places of each source in a frame.
+
+    Sources without a weight share what is left of 1 equally. Weights are
+    divided by their sum. The frame is the smallest that holds all of them
+    exactly. If that has over ``MAX_PLACES`` places, they are rounded by largest
+    remainder to a frame of ``FINER`` times as many places as ``frame`` or as
+    there are sources, doubled up to ``MAX_PLACES`` until each weight has a place.
+    A source without a place has only what is left over (see ``mix``).
     """
-    frame = max(frame, 2 * len(sources))
-    rest = [s for s in sources if s not in weights]
-    left = 1 - sum(w for s, w in weights.items() if s in sources)
-    least = min((w for w in weights.values() if w > 0), default=1.0)
-    each = {s: max(weights[s], 0) if s in weights else (left / len(rest) if left > 0 else least) for s in sources}
-    total = sum(each.values()) or 1
-    free = frame - len(sources)
-    exact = {s: each[s] / total * free for s in sources}
-    out = {s: 1 + int(exact[s]) for s in sources}
-    order = sorted(sources, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in order[: frame - sum(out.values())]:
+    given = {s: _fraction(weights[s]) for s in sources if s in weights}
+    rest = len(sources) - len(given)
+    left = max(Fraction(1) - sum(given.values()), Fraction(0))
+    each = {s: given[s] if s in given else left / rest for s in sources}
+    total = sum(each.values())
+    if not total:
+        return dict.fromkeys(sources, 0)
+    each = {s: w / total for s, w in each.items()}
+    size = 1
+    for w in set(each.values()):
+        size = math.lcm(size, w.denominator)
+        if size > MAX_PLACES:
+            break
+    else:
+        return {s: int(w * size) for s, w in each.items()}
+    least = min(w for w in each.values() if w)
+    size = min(FINER * max(frame, len(sources)), MAX_PLACES)
+    while size * least < 1 and 2 * size <= MAX_PLACES:
+        size *= 2
+    out = {s: int(w * size) for s, w in each.items()}
+    order = sorted((s for s in sources if each[s]), key=lambda s: (out[s] - each[s] * size, s))
+    for s in order[: size - sum(out.values())]:
         out[s] += 1
     return out
 
@@ -49,7 +78,7 @@ def shares(sources: list[str], weights: dict[str, float], frame: int = FRAME) ->
 def frame_order(places: dict[str, int]) -> list[tuple[str, int]]:
     """(source, block) for each place of a frame."""
     frame = sum(places.values())
-    waiting = [(0, -(-frame // q), s, 0) for s, q in sorted(places.items())]
+    waiting = [(0, -(-frame // q), s, 0) for s, q in sorted(places.items()) if q]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     order = []
@@ -70,13 +99,19 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def mix(documents: DataFrame, weights: dict[str, float], block_docs: int = BLOCK_DOCS, frame: int = FRAME) -> DataFrame:
+def mix(
+    documents: DataFrame, weights: dict[str, float], block_docs: int = BLOCK_DOCS, frame: int = FRAME, filled: bool = False
+) -> DataFrame:
     """``documents`` with their place in the mixture: block, slot and offset.
 
     ``slot`` is the place of the document's block, ``offset`` its number in the
     block. Within a source, documents stand by the MD5 of their doc_id, then by
     doc_id; equal ids in any order. Every row is returned: places of a source
-    that has run out stay empty. Columns of the added names are replaced.
+    that has run out stay empty, and sources of weight 0 take turns after the
+    last place of the others. Columns of the added names are replaced.
+
+    ``filled`` returns only the slots before the first one that a source named
+    in ``weights`` can't fill; there, shares are as the weights say.
     """
     spark = documents.sparkSession
     counts = {
@@ -88,15 +123,29 @@ def mix(documents: DataFrame, weights: dict[str, float], block_docs: int = BLOCK
     places = shares(sorted(counts), {"s" + s: w for s, w in weights.items()}, frame)
     order = frame_order(places)
 
+    frames = len(order)
+    at = {place: i for i, place in enumerate(order)}
+
+    def slot(source: str, block: int) -> int:
+        q = places[source]
+        return block // q * frames + at[source, block % q]
+
+    after = max((slot(s, (n - 1) // block_docs) + 1 for s, n in counts.items() if places[s]), default=0)
+    late = [s for s in sorted(counts) if not places[s]]
+    named = [s for s in counts if places[s] and s[1:] in weights and s != "n"]
+    end = min((slot(s, counts[s] // block_docs) for s in named), default=None)
+
     def table(rows: list, fields: str) -> DataFrame:
+        if len(rows) > IN_PLAN:
+            return spark.createDataFrame(pa.Table.from_pylist(rows))
         schema = f"array<struct<{fields}>>"
         return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema))))
 
     names = [f.name for f in documents.schema if f.name not in ("block", "slot", "offset")]
     groups = table([{"_k": k, "_groups": 1 + n // GROUP_DOCS} for k, n in sorted(counts.items())], "_k:string,_groups:bigint")
     pattern = table(
-        [{"_k": s, "_in_frame": b, "_place": i, "_share": places[s]} for i, (s, b) in enumerate(order)],
-        "_k:string,_in_frame:bigint,_place:bigint,_share:bigint",
+        [{"_k": s, "_in_frame": b, "_place": i} for i, (s, b) in enumerate(order)],
+        "_k:string,_in_frame:bigint,_place:bigint",
     )
     digest = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     high = F.coalesce(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint"), F.lit(0))
@@ -117,18 +166,24 @@ def mix(documents: DataFrame, weights: dict[str, float], block_docs: int = BLOCK
         .withColumn("_index", F.col("_start") + F.col("_number") - 1)
         .withColumn("block", F.floor(F.col("_index") / block_docs))
     )
-    shares_only = table([{"_k": s, "_q": q} for s, q in places.items()], "_k:string,_q:bigint")
-    return (
+    shares_only = table(
+        [{"_k": s, "_q": q or 1, "_late": None if q else after + late.index(s)} for s, q in places.items()],
+        "_k:string,_q:bigint,_late:bigint",
+    )
+    placed = (
         numbered.join(shares_only, "_k")
         .withColumn("_in_frame", F.col("block") % F.col("_q"))
-        .join(pattern.drop("_share"), ["_k", "_in_frame"])
+        .join(pattern, ["_k", "_in_frame"], "left")
         .select(
             *names,
             "block",
-            (F.floor(F.col("block") / F.col("_q")) * len(order) + F.col("_place")).alias("slot"),
+            F.coalesce(
+                F.col("_late") + F.col("block") * len(late), F.floor(F.col("block") / F.col("_q")) * frames + F.col("_place")
+            ).alias("slot"),
             (F.col("_index") % block_docs).alias("offset"),
         )
     )
+    return placed.filter(F.col("slot") < end) if filled and end is not None else placed
 
 
 def mixed(documents: DataFrame, weights: dict[str, float], **settings) -> DataFrame:
