@@ -85,3 +85,23 @@ def test_large_patterns_are_not_in_the_plan(spark, monkeypatch):
     usual = sorted((r.doc_id, r.slot, r.offset) for r in mixing.mix(docs, {"a": 0.3}, block_docs=2).collect())
     monkeypatch.setattr(mixing, "IN_PLAN", 3)
     assert sorted((r.doc_id, r.slot, r.offset) for r in mixing.mix(docs, {"a": 0.3}, block_docs=2).collect()) == usual
+
+
+# The pipeline's stages
+
+
+def test_the_mixture_decides_which_documents_stay(spark):
+    counts = {"src0": 900, "src1": 200, "src2": 500, "other": 1600, "few": 500, None: 600}
+    sources = [s for s, n in counts.items() for _ in range(n)]
+    docs = table(spark, ["t"] * len(sources), sources=sources).drop("block")
+    out = corpus_pipeline.mixture(spark, docs, "").collect()
+    found = collections.Counter(r.source for r in out)
+    total = (max(r.slot for r in out) + 1) * 16
+    assert {"slot", "in_block"} <= set(out[0].asDict()) and len({(r.slot, r.in_block) for r in out}) == len(out)
+    assert [(r.slot, r.in_block) for r in out] == sorted((r.slot, r.in_block) for r in out)
+    assert 192 <= found["src1"] <= 200 and len(out) == total
+    assert all(abs(found[s] - w * total) < 16 for s, w in corpus_pipeline.WEIGHTS.items())
+    assert all(abs(found[s] - 0.67 / 3 * total) < 16 for s in ("other", "few", None))
+    assert corpus_pipeline.mixture(spark, docs.filter("source = 'other'"), "").count() == 1600
+    tokens = corpus_pipeline.encoded(spark, corpus_pipeline.mixture(spark, docs, ""), "")
+    assert {"slot", "in_block"} <= set(tokens.columns)
