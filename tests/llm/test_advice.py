@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import table
-from tracewell.llm import line_dedup, mixing
+from tracewell.llm import line_dedup, minhash, mixing, substring_dedup
 
 
 # Lines
@@ -87,6 +87,28 @@ def test_large_patterns_are_not_in_the_plan(spark, monkeypatch):
     assert sorted((r.doc_id, r.slot, r.offset) for r in mixing.mix(docs, {"a": 0.3}, block_docs=2).collect()) == usual
 
 
+# One id with two texts
+
+
+def test_substrings_of_one_id_with_two_texts(spark):
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    shared, other = run("p", 60), run("q", 70)
+    texts = [f"{run('a', 9)} {shared} {run('b', 9)}", f"{run('c', 300)} {shared} {run('d', 40)}", f"{run('e', 55)}", f"{other} {run('f', 5)}", f"{run('g', 90)} {other}"]
+    rows = substring_dedup.substring_dedup(table(spark, texts, ids=[1, 2, 2, 2, 3])).collect()
+    found = sorted((r.doc_id, r.n_words, r.n_removed) for r in rows)
+    assert found == [(1, 78, 0), (2, 55, 0), (2, 75, 0), (2, 400, 60), (3, 160, 70)]
+    assert {r.kept_text for r in rows if r.n_removed} == {f"{run('c', 300)} {run('d', 40)}", run("g", 90)}
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    run = lambda name: " ".join(f"{name}{i}" for i in range(100))
+    texts = [run("a"), run("a") + " x", run("b"), run("b") + " y", run("c"), run("b"), run("c") + " z"]
+    ids = [3, 5, 5, 7, 5, 9, 4]
+    rows = minhash.near_duplicates(table(spark, texts, ids), 2, 80).collect()
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)
+    assert found == [(3, 99, 3, True), (4, 100, 4, True), (5, 99, 4, False), (5, 99, 5, True), (5, 100, 3, False), (7, 100, 5, False), (9, 99, 5, False)]
+
+
 # The pipeline's stages
 
 

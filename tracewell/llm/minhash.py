@@ -88,8 +88,13 @@ def _lists(matrix: np.ndarray, present: np.ndarray) -> pa.Array:
     )
 
 
+def text_key() -> Column:
+    """Tells texts with one doc_id apart."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def set_features(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a 128-bit hash of the set), signature, bands; nulls for empty sets."""
+    """doc_id, text_key, n_shingles, set_a and set_b (a 128-bit hash of the set), signature, bands; nulls for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,34 +115,34 @@ def set_features(documents: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_key"),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(full[0], mask=~present),
                         pa.array(full[1], mask=~present),
                         _lists(packed, present),
                         _lists(keys, present),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
+                    names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "signature", "bands"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(
+    return documents.select("doc_id", text_key(), "text").mapInArrow(
         run,
-        f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, signature array<bigint>, bands array<bigint>",
+        f"doc_id {kind}, text_key bigint, n_shingles bigint, set_a bigint, set_b bigint, signature array<bigint>, bands array<bigint>",
     )
 
 
 def shingle_sets(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id and the sorted hashes of its set."""
+    """For rows (id, text): id and the sorted hashes of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 values, first = _shingles(part.column("text"), width)
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), sets], names=["id", "shingles"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
+    return documents.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
 def estimate(one: Column, two: Column) -> Column:
@@ -156,8 +161,8 @@ def estimate(one: Column, two: Column) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     joined = pairs.join(one, "a").join(two, "b").withColumn("both", both)
     return joined.filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
@@ -256,16 +261,10 @@ def _linked_in_blocks(rows: DataFrame, percent: int, floor: float) -> DataFrame:
     return met.groupBy("band", "p", "q").applyInArrow(join, "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``documents``.
+def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_key, n_shingles, group_id, component_id: ``near_duplicates`` before its verdict.
 
-    Documents are linked if the Jaccard similarity of their sets of
-    ``width``-word shingles (A-Z lower-cased) is at least ``percent``. A text
-    with fewer words is one shingle; without words the set is empty and linked
-    with nothing. component_id is the smallest doc_id reachable, the row's own
-    where it has no link; kept means that it is the row's own. Rows without a
-    doc_id take part in nothing and are kept. Rows with one doc_id and
-    different texts are judged each for itself.
+    group_id is the same for linked rows only; null where the row takes part in nothing.
 
     First every class is compared with the most similar one among the centres
     and the smallest members of its bands; components of these links settle most
@@ -277,7 +276,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     classes = cut(
         features.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        .agg(
+            F.min(F.struct("doc_id", "text_key")).alias("least"),
+            F.first("signature").alias("signature"),
+            F.first("bands").alias("bands"),
+        )
+        .withColumn("id", F.xxhash64("set_a", "set_b"))
     )
     members = classes.select("id", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).filter("size > 1")
@@ -291,10 +295,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .select("band", (-F.col("centre.minus")).alias("centre"))
     )
     signed = classes.select("id", "signature")
+    wanted = members.select("id").distinct().join(classes.select("id", "least.*"), "id")
     sets = cut(
         shingle_sets(
-            documents.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width
-        ).dropDuplicates(["doc_id"])
+            documents.select("doc_id", text_key(), "text").join(wanted, ["doc_id", "text_key"]), width
+        ).dropDuplicates(["id"])
     )
     floor = percent / 100 - SLACK
 
@@ -333,19 +338,43 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     near = estimate(F.col("s"), F.col("t"))
     across = cut(one.join(two, "band").filter("x < y").filter(near >= floor).select("a", "b").distinct())
     hot = opened.filter("large").select("band", "id", "component")
-    hot = hot.join(classes.select("id", "signature", "bands"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    hot = hot.join(classes.select("id", "signature", "bands"), "id").join(sets, "id")
     more = cut(_confirmed(across, sets, percent)).unionByName(cut(_linked_in_blocks(hot, percent, floor)))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    of_class = classes.join(found, "id", "left").select(
-        "set_a", "set_b", F.coalesce("component_id", "id").alias("component_id")
+    linked = cut(classes.select("id", F.col("least.doc_id").alias("doc_id")).join(found, "id"))
+    lowest = linked.groupBy("component_id").agg(F.min("doc_id").alias("low"))
+    low = linked.join(lowest, "component_id").select("id", F.col("component_id").alias("linked"), "low")
+    of_class = classes.join(low, "id", "left").select(
+        "set_a", "set_b", F.coalesce("linked", "id").alias("group_id"), F.coalesce("low", "least.doc_id").alias("component_id")
     )
-    judged = features.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    judged = features.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
+    has_id = F.col("doc_id").isNotNull()
     return judged.select(
+        "doc_id",
+        "text_key",
+        "n_shingles",
+        F.when(has_id, F.col("group_id")).alias("group_id"),
+        F.when(has_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
+    )
+
+
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``documents``.
+
+    Documents are linked if the Jaccard similarity of their sets of
+    ``width``-word shingles (A-Z lower-cased) is at least ``percent``. A text
+    with fewer words is one shingle; without words the set is empty and linked
+    with nothing. component_id is the smallest doc_id reachable, the row's own
+    where it has no link; kept means that it is the row's own. Rows without a
+    doc_id take part in nothing and are kept. Rows with one doc_id and
+    different texts are judged each for itself; linked to each other, both are
+    kept if the id is the smallest.
+    """
+    return near_groups(documents, width, percent).select(
         "doc_id",
         "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )

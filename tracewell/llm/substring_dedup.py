@@ -90,17 +90,18 @@ def _segments(documents: DataFrame, window: int, prefix: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 found = segments_of(*word_hashes(part.column("text")), window, prefix)
-                ids = part.column("doc_id").take(pa.array(found.pop("row")))
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, found.values())], names=["doc_id", *found])
+                row = pa.array(found.pop("row"))
+                ids = [part.column(n).take(row) for n in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, found.values())], names=["doc_id", "text_key", *found])
 
     return documents.mapInArrow(
-        run, f"doc_id {kind}, start bigint, windows bigint, group bigint, key_a bigint, key_b bigint"
+        run, f"doc_id {kind}, text_key bigint, start bigint, windows bigint, group bigint, key_a bigint, key_b bigint"
     )
 
 
 def _texts_of(asked: DataFrame, documents: DataFrame, window: int) -> DataFrame:
     """The word hashes of the segments in ``asked``."""
-    wanted = asked.groupBy("doc_id").agg(
+    wanted = asked.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", "windows", "group", "key_a", "key_b", "large")).alias("wanted")
     )
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -123,7 +124,7 @@ def _texts_of(asked: DataFrame, documents: DataFrame, window: int) -> DataFrame:
                     names=["doc_id", *fields, "words"],
                 )
 
-    return documents.join(wanted, "doc_id").mapInArrow(
+    return documents.join(wanted, ["doc_id", "text_key"]).mapInArrow(
         run,
         f"doc_id {kind}, windows bigint, group bigint, key_a bigint, key_b bigint, large boolean, words array<bigint>",
     )
@@ -239,8 +240,10 @@ def _full_depth(texts: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(documents: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(doc_id, start, n): runs of window starts whose windows also stand in a document with a smaller id."""
-    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
+    """(doc_id, text_key, start, n): runs of window starts whose windows also stand in a document with a smaller id."""
+    documents = documents.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
+    ).filter("doc_id is not null")
     segments = cut(_segments(documents, window, prefix))
     groups = segments.groupBy("group").agg(
         F.min("doc_id").alias("least"),
@@ -248,12 +251,12 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, prefix: int = P
         (F.min("key_a") != F.max("key_a")).alias("many"),
     )
     shared = cut(segments.join(groups.filter("least < most").drop("most"), "group"))
-    plain = shared.filter("not many and least < doc_id").select("doc_id", "start", F.col("windows").alias("n"))
+    plain = shared.filter("not many and least < doc_id").select("doc_id", "text_key", "start", F.col("windows").alias("n"))
 
     distinct = (
         shared.filter("many")
         .groupBy("group", "key_a", "key_b")
-        .agg(F.min(F.struct("doc_id", "start", "windows")).alias("at"))
+        .agg(F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("at"))
         .select("group", "key_a", "key_b", "at.*")
     )
     sizes = distinct.groupBy("group").agg((F.count(F.lit(1)) > GROUP).alias("large"))
@@ -263,8 +266,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, prefix: int = P
         shared.filter("many")
         .drop("least")
         .join(runs, ["group", "key_a", "key_b"])
-        .select("doc_id", "start", F.explode(F.filter("runs", lambda r: r["least"] < F.col("doc_id"))).alias("run"))
-        .select("doc_id", (F.col("start") + F.col("run.first")).alias("start"), F.col("run.n").alias("n"))
+        .select("doc_id", "text_key", "start", F.explode(F.filter("runs", lambda r: r["least"] < F.col("doc_id"))).alias("run"))
+        .select("doc_id", "text_key", (F.col("start") + F.col("run.first")).alias("start"), F.col("run.n").alias("n"))
     )
     return plain.unionByName(found)
 
@@ -277,12 +280,12 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, prefix: int = PR
     the input. Words are unchanged and joined by one space. Null and wordless
     texts have no words; texts shorter than the window lose nothing. Rows
     without a doc_id lose nothing and cause no loss; rows with one doc_id are
-    one document to each other, and each loses what any of them would.
+    one document to each other: each loses what its own text shares with smaller ids.
     """
-    wide = documents.select("doc_id", F.col("doc_id").cast("bigint").alias("_id"), "text")
+    wide = documents.select("doc_id", F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_key"), "text")
     runs = (
         repeated_windows(documents, window, prefix)
-        .groupBy(F.col("doc_id").alias("_id"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
         .agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     )
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -316,7 +319,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, prefix: int = PR
                 )
 
     return (
-        wide.join(runs, "_id", "left")
+        wide.join(runs, ["_id", "_key"], "left")
         .select("doc_id", "text", "runs")
         .mapInArrow(
             run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
