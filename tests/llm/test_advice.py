@@ -127,3 +127,14 @@ def test_the_mixture_decides_which_documents_stay(spark):
     assert corpus_pipeline.mixture(spark, docs.filter("source = 'other'"), "").count() == 1600
     tokens = corpus_pipeline.encoded(spark, corpus_pipeline.mixture(spark, docs, ""), "")
     assert {"slot", "in_block"} <= set(tokens.columns)
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    run = lambda name: " ".join(f"{name}{i}" for i in range(100))
+    texts = [run("a"), run("a"), run("a") + " x", run("a") + " x", run("b"), run("a"), run("a"), None, "", "", run("c"), run("c") + " z"]
+    ids = [1, 1, 1, 2, 2, None, None, None, 4, 4, 6, 7]
+    docs = table(spark, texts, ids)
+    out = corpus_pipeline.near(spark, docs, "")
+    assert out.columns == docs.columns
+    found = sorted(((r.doc_id or 0), (r.text or "")[:2]) for r in out.collect())
+    assert found == [(0, ""), (0, "a0"), (0, "a0"), (1, "a0"), (2, "b0"), (4, ""), (6, "c0")]
