@@ -7,9 +7,9 @@ windows have in common wherever they stand. Neighbouring suffixes mostly share
 it, so a group holds whole segments of text instead of 50 words per suffix.
 
 Groups in which only one document occurs hold no repeat. For the others, equal
-segments are merged first; each group's suffixes are then sorted into its
-suffix tree, whose internal nodes at full depth are the repeats, each with its
-smallest doc_id. For groups too large for memory the prefix is lengthened to
+segments are merged first; each group's windows are then sorted, which puts
+equal ones together as a suffix tree's nodes at that depth would, each with its
+smallest doc_id; no tree is built. For groups too large for memory the prefix is lengthened to
 the full depth, where a node is one key of a distributed minimum.
 """
 
