@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,14 +28,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it may stand in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
-    The folder is the one in ``spark.checkpoint.dir``; a temporary one is set
-    only where there is none, as in tests on one machine.
+    The folder is the one in ``spark.checkpoint.dir``. Where there is none, a
+    temporary one is set if Spark runs on this machine alone; on a cluster that
+    is an error. Spark deletes a checkpoint once nothing refers to it if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
