@@ -1,9 +1,9 @@
 """Removal of multi-line passages that occur elsewhere in the corpus.
 
-A rolling hash over the last ``ROLL`` line hashes ends a chunk where it falls
-into a fixed class, so that boundaries move along with inserted lines. Chunks
-of several lines are grouped by hash over the whole corpus; each is compared
-byte by byte with the group's first one before it is removed.
+A rolling hash over the last ``ROLL`` line hashes ends a chunk where it is a
+multiple of ``DIVISOR``, so that boundaries move along with inserted lines.
+Chunks of several lines are counted by hash over the whole corpus; the texts of
+repeated hashes are compared byte by byte before any is removed.
 
 Chunks find a short passage only if boundaries fall inside it. ``passage_dedup``
 needs no boundaries: it compares every two neighbouring lines.
@@ -14,26 +14,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, let
+from tracewell.llm.common import cut, let, quoted
 
-ROLL = 2
-#: A chunk ends at one line hash in ``16 / len(ENDS)``.
-ENDS = "0123"
+#: Lines that a boundary depends on, the factor from one to the next, and one line in how many ends a chunk.
+ROLL, BASE, DIVISOR = 2, 31, 4
 MIN_LINES = 2
 
 
-def _chunks(text: Column) -> Column:
+def _line_hash(line: Column) -> Column:
+    """The first 32 bits of the line's MD5."""
+    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
+
+
+def _rolled(hashes: Column, i: Column, roll: int) -> Column:
+    """The rolling hash at line i: the sum of BASE**k * hash of line i - k, without what lies before the text.
+
+    It is what adding line i to BASE times the last value and taking out the
+    oldest line gives; ``roll`` is small, so the terms are simply added up.
+    """
+    return sum((F.coalesce(F.get(hashes, i - k), F.lit(0).cast("bigint")) * BASE**k for k in range(1, roll)), F.get(hashes, i))
+
+
+def _chunks(text: Column, roll: int = ROLL, divisor: int = DIVISOR) -> Column:
     """The chunks of a text, each an array of lines."""
 
     def ends(lines: Column) -> Column:
         return let(
-            F.transform(lines, lambda x: F.md5(x)),
+            F.transform(lines, _line_hash),
             lambda h: F.filter(
-                F.sequence(F.lit(0), F.size(h) - 1),
-                lambda i: F.substring(F.md5(F.concat(F.coalesce(F.get(h, i - 1), F.lit("")), F.get(h, i))), 1, 1).isin(
-                    *ENDS
-                )
-                | (i == F.size(h) - 1),
+                F.sequence(F.lit(0), F.size(h) - 1), lambda i: (_rolled(h, i, roll) % divisor == 0) | (i == F.size(h) - 1)
             ),
         )
 
@@ -51,57 +60,75 @@ def _chunks(text: Column) -> Column:
     )
 
 
-def repeated_chunks(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, at): the chunks that are removed, by their number in the document.
+def repeated_chunks(documents: DataFrame, min_lines: int = MIN_LINES, roll: int = ROLL, divisor: int = DIVISOR) -> DataFrame:
+    """(doc_id, hash, at): the chunks that are removed, by document, its text's hash and their number in the text.
 
     A chunk counts if at least ``min_lines`` of its lines hold a word. Of equal
-    chunks the one with the smallest (doc_id, number) stays.
+    chunks the one with the smallest (doc_id, hash, number) stays.
+
+    Texts are compared by grouping on (key, text), so of a chunk with many
+    copies each task sends one. Where all texts of a key are equal, which is so
+    but for collisions of the 64-bit key, the members need no text any more.
     """
     rows = (
         documents.filter("doc_id is not null")
-        .select("doc_id", F.posexplode(_chunks(F.col("text"))).alias("at", "lines"))
+        .select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(_chunks(F.col("text"), roll, divisor)).alias("at", "lines"))
         .filter(F.size(F.filter("lines", lambda x: x.rlike(r"[^ \t-\r]"))) >= min_lines)
-        .select("doc_id", "at", F.array_join("lines", "\n").alias("chunk"))
+        .select("doc_id", "hash", "at", F.array_join("lines", "\n").alias("chunk"))
         .withColumn("key", F.xxhash64("chunk"))
     )
+    place = F.struct("doc_id", "hash", "at")
+    keyed = cut(rows.drop("chunk"))
     groups = (
-        rows.groupBy("key")
-        .agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"))
+        keyed.groupBy("key")
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .filter("first != last")
         .select("key", "first")
     )
-    members = cut(rows.join(groups, "key"))
-    texts = members.filter(F.col("first") == F.struct("doc_id", "at")).groupBy("key").agg(F.first("chunk").alias("kept"))
-    same = members.filter(F.col("first") != F.struct("doc_id", "at")).join(texts, "key").filter("chunk = kept")
-    return same.select("doc_id", "at").distinct()
+    texts = rows.join(groups, "key").select("key", "chunk").distinct()
+    mixed = cut(texts.groupBy("key").count().filter("count > 1").select("key"))
+    equal = keyed.join(groups, "key").join(mixed, "key", "left_anti").filter(F.col("first") != place)
+    members = rows.join(mixed, "key")
+    firsts = members.groupBy("key", "chunk").agg(F.min(place).alias("first"))
+    others = members.join(firsts, ["key", "chunk"]).filter(F.col("first") != place)
+    return equal.select("doc_id", "hash", "at").unionByName(others.select("doc_id", "hash", "at")).distinct()
+
+
+def _with_removed(documents: DataFrame, removed: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """``documents`` with the columns of ``added``, made from row (all of the row) and removed (null, or what belongs to it)."""
+    held = documents.select(
+        F.struct(*map(quoted, documents.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of")
+    )
+    joined = held.join(removed.select(F.col("doc_id").alias("id"), F.col("hash").alias("of"), "removed"), ["id", "of"], "left")
+    places = [added[n].alias(n) if n in added else F.col(f"row.{quoted(n)}") for n in documents.columns]
+    return joined.select(*places, *[c.alias(n) for n, c in added.items() if n not in documents.columns])
 
 
-def line_dedup(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(documents: DataFrame, min_lines: int = MIN_LINES, roll: int = ROLL, divisor: int = DIVISOR) -> DataFrame:
     """``documents`` with repeated chunks taken out of ``text``, and the columns n_chunks and n_removed.
 
-    Null texts stay null, with no chunk. Rows with one doc_id count as one
-    document; rows without an id are left as they are. A chunk whose hash meets
-    another text's is kept. Columns of the added names are replaced.
+    Null texts stay null, with no chunk; an empty text is one chunk that stays.
+    Rows with one doc_id and one text count as one document, and those with one
+    doc_id and different texts as several; rows without an id are left as they
+    are. Texts of any length are cut whole. Columns of the added names are
+    replaced, others stay.
     """
     removed = (
-        repeated_chunks(documents, min_lines)
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_list("at").alias("_removed"))
+        repeated_chunks(documents, min_lines, roll, divisor).groupBy("doc_id", "hash").agg(F.collect_list("at").alias("removed"))
     )
-    none = F.array().cast("array<int>")
-    joined = documents.join(removed, documents["doc_id"] == F.col("_id"), "left").withColumn("_chunks", _chunks(F.col("text")))
+    text, gone = F.col("row.text"), F.col("removed")
 
     def rebuilt(chunks: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), "_removed")
+        stay = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), gone)
         return F.array_join(F.flatten(F.transform(stay, lambda i: F.get(chunks, i))), "\n")
 
-    return joined.withColumns(
-        {
-            "n_chunks": F.when(F.col("text").isNull(), 0).otherwise(F.size("_chunks")),
-            "n_removed": F.size(F.coalesce("_removed", none)),
-            "text": F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rebuilt(F.col("_chunks"))),
-        }
-    ).drop("_id", "_removed", "_chunks")
+    chunks = _chunks(text, roll, divisor)
+    added = {
+        "text": F.when(gone.isNull(), text).otherwise(let(chunks, rebuilt)),
+        "n_chunks": F.when(text.isNull(), 0).otherwise(F.size(chunks)),
+        "n_removed": F.coalesce(F.size(gone), F.lit(0)),
+    }
+    return _with_removed(documents, removed, added)
 
 
 def _pairs(text: Column) -> Column:
@@ -135,7 +162,6 @@ def passage_dedup(documents: DataFrame) -> DataFrame:
     stay. Null texts stay null. Rows with one doc_id and one text count as one
     document; rows without an id are left as they are.
     """
-    hashed = documents.withColumn("_hash", F.xxhash64("text"))
     pairs = (
         documents.filter("doc_id is not null")
         .select("doc_id", F.xxhash64("text").alias("hash"), F.explode(_pairs(F.col("text"))).alias("pair"))
@@ -146,19 +172,20 @@ def passage_dedup(documents: DataFrame) -> DataFrame:
     removed = (
         pairs.join(groups.select("key", "first"), "key")
         .filter(F.col("first") != at)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"))
-        .agg(F.collect_set(F.struct("a", "b")).alias("_removed"))
+        .groupBy("doc_id", "hash")
+        .agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+        .select(
+            "doc_id", "hash", F.array_distinct(F.flatten(F.transform("pairs", lambda r: F.sequence(r["a"], r["b"])))).alias("removed")
+        )
     )
-    joined = hashed.join(removed, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
-    gone = F.array_distinct(F.flatten(F.transform("_removed", lambda r: F.sequence(r["a"], r["b"]))))
+    text, gone = F.col("row.text"), F.col("removed")
 
     def rebuilt(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
-    return joined.withColumn("_gone", gone).withColumns(
-        {
-            "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")),
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rebuilt)),
-        }
-    ).drop("_id", "_of", "_hash", "_removed", "_gone")
+    added = {
+        "text": F.when(gone.isNull(), text).otherwise(let(F.split(text, "\n"), rebuilt)),
+        "n_removed": F.coalesce(F.size(gone), F.lit(0)),
+    }
+    return _with_removed(documents, removed, added)

@@ -122,11 +122,9 @@ WITH lines AS (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
   FROM documents),
 hashed AS (
-  SELECT *, md5(line) AS h, lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i) AS before,
-         max(i) OVER (PARTITION BY doc_id) AS last
-  FROM lines),
+  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, max(i) OVER (PARTITION BY doc_id) AS last FROM lines),
 ends AS (
-  SELECT *, CASE WHEN substr(md5(coalesce(before, '') || h), 1, 1) IN ('0', '1', '2', '3') OR i = last THEN 1 ELSE 0 END AS ended
+  SELECT *, CASE WHEN (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 OR i = last THEN 1 ELSE 0 END AS ended
   FROM hashed),
 numbered AS (
   SELECT *, coalesce(sum(ended) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
