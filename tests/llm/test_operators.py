@@ -306,7 +306,23 @@ def test_mixing_keeps_every_row(spark):
     first = [r.source for r in sorted(rows, key=lambda r: (r.slot, r.offset))[:20]]
     assert 8 <= first.count("a") <= 12
     assert mixing.mix(table(spark, []), {}).count() == 0
-    assert mixing.mixed(docs.drop("block"), {}).columns == docs.drop("block").columns
+    assert mixing.mixed(docs, {}).columns == docs.columns
+    assert {(r.block, r.start) for r in mixing.mixed(docs, {}).collect()} == {("b", "x")}
+
+
+def test_mixing_leaves_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_DOCS", 3)
+    monkeypatch.setattr(mixing, "FAR_GROUPS", 2)
+    taken = ["_k", "k", "digest", "_digest", "group", "_group", "row", "id", "index", "number", "place", "far", "n", "late", "q", "start", "a.b", "slot"]
+    docs = table(spark, ["t"] * 50, sources=["a"] * 30 + ["b"] * 20).select("doc_id", "source", *[F.lit(f"own {n}").alias(n) for n in taken])
+    rows = mixing.mix(docs, {"a": 0.5}, block_docs=2)
+    assert rows.columns == [*[n for n in docs.columns if n != "slot"], "block", "slot", "offset"]
+    for r in rows.collect():
+        assert all(r[n] == f"own {n}" for n in taken if n != "slot")
+    for source, n in (("a", 30), ("b", 20)):
+        order = sorted((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.block * 2 + r.offset) for r in rows.collect() if r.source == source)
+        assert [i for _, i in order] == list(range(n))
+    assert [r.slot for r in mixing.mixed(docs, {}).collect()] == ["own slot"] * 50
 
 
 # Lines

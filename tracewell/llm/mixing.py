@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import quoted
+
 #: Documents in a block, places in a frame, sources at most (their names and counts are read by the driver).
 BLOCK_DOCS = 16
 FRAME = 1000
@@ -28,8 +30,8 @@ MAX_SOURCES = 10_000
 MAX_PLACES, FINER = 1 << 20, 64
 #: Rows of a table that stands in the plan; larger ones are sent as Arrow batches.
 IN_PLAN = 10_000
-#: Documents that are numbered together.
-GROUP_DOCS = 1000
+#: Documents that are numbered together, and groups whose sizes are added up together.
+GROUP_DOCS, FAR_GROUPS = 1000, 1000
 
 
 def _fraction(weight: float) -> Fraction:
@@ -100,15 +102,22 @@ def _key(source: Column) -> Column:
 
 
 def mix(
-    documents: DataFrame, weights: dict[str, float], block_docs: int = BLOCK_DOCS, frame: int = FRAME, filled: bool = False
+    documents: DataFrame,
+    weights: dict[str, float],
+    block_docs: int = BLOCK_DOCS,
+    frame: int = FRAME,
+    filled: bool = False,
+    names: tuple[str, str, str] = ("block", "slot", "offset"),
 ) -> DataFrame:
-    """``documents`` with their place in the mixture: block, slot and offset.
+    """``documents`` with their place in the mixture: block, slot and offset, or what ``names`` calls them.
 
     ``slot`` is the place of the document's block, ``offset`` its number in the
     block. Within a source, documents stand by the MD5 of their doc_id, then by
-    doc_id; equal ids in any order. Every row is returned: places of a source
-    that has run out stay empty, and sources of weight 0 take turns after the
-    last place of the others. Columns of the added names are replaced.
+    doc_id; equal ids, and rows without one, in any order. Texts play no part.
+    Every row is returned: places of a source that has run out stay empty, and
+    sources of weight 0 take turns after the last place of the others. A null
+    source is a source of its own. An empty table gives no row. Columns of the
+    added names are replaced, others stay.
 
     ``filled`` returns only the slots before the first one that a source named
     in ``weights`` can't fill; there, shares are as the weights say.
@@ -141,52 +150,61 @@ def mix(
         schema = f"array<struct<{fields}>>"
         return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema))))
 
-    names = [f.name for f in documents.schema if f.name not in ("block", "slot", "offset")]
-    groups = table([{"_k": k, "_groups": 1 + n // GROUP_DOCS} for k, n in sorted(counts.items())], "_k:string,_groups:bigint")
+    groups = table([{"k": k, "groups": 1 + n // GROUP_DOCS} for k, n in sorted(counts.items())], "k:string,groups:bigint")
     pattern = table(
-        [{"_k": s, "_in_frame": b, "_place": i} for i, (s, b) in enumerate(order)],
-        "_k:string,_in_frame:bigint,_place:bigint",
+        [{"k": s, "in_frame": b, "place": i} for i, (s, b) in enumerate(order)], "k:string,in_frame:bigint,place:bigint"
     )
-    digest = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    high = F.coalesce(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint"), F.lit(0))
+    kept = [n for n in documents.columns if n not in names]
+    high = F.coalesce(F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint"), F.lit(0))
     rows = (
-        documents.select(*names)
-        .withColumn("_k", _key(F.col("source")))
-        .join(groups, "_k")
-        .withColumn("_digest", digest)
-        .withColumn("_group", F.floor(high * F.col("_groups") / F.lit(1 << 32)))
+        documents.select(
+            F.struct(*map(quoted, kept)).alias("row"),
+            F.col("doc_id").alias("id"),
+            _key(F.col("source")).alias("k"),
+            F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("digest"),
+        )
+        .join(groups, "k")
+        .withColumn("group", F.floor(high * F.col("groups") / F.lit(1 << 32)))
     )
-    sizes = rows.groupBy("_k", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_k").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_k", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_k", "_group").orderBy("_digest", "doc_id")
+    inside = Window.partitionBy("k", "group").orderBy("digest", "id")
     numbered = (
-        rows.withColumn("_number", F.row_number().over(inside))
-        .join(starts, ["_k", "_group"])
-        .withColumn("_index", F.col("_start") + F.col("_number") - 1)
-        .withColumn("block", F.floor(F.col("_index") / block_docs))
+        rows.withColumn("number", F.row_number().over(inside))
+        .join(_starts(rows), ["k", "group"])
+        .withColumn("index", F.col("start") + F.col("number") - 1)
+        .withColumn("block", F.floor(F.col("index") / block_docs))
     )
     shares_only = table(
-        [{"_k": s, "_q": q or 1, "_late": None if q else after + late.index(s)} for s, q in places.items()],
-        "_k:string,_q:bigint,_late:bigint",
+        [{"k": s, "q": q or 1, "late": None if q else after + late.index(s)} for s, q in places.items()],
+        "k:string,q:bigint,late:bigint",
     )
     placed = (
-        numbered.join(shares_only, "_k")
-        .withColumn("_in_frame", F.col("block") % F.col("_q"))
-        .join(pattern, ["_k", "_in_frame"], "left")
-        .select(
-            *names,
-            "block",
+        numbered.join(shares_only, "k")
+        .withColumn("in_frame", F.col("block") % F.col("q"))
+        .join(pattern, ["k", "in_frame"], "left")
+        .withColumn(
+            "slot",
             F.coalesce(
-                F.col("_late") + F.col("block") * len(late), F.floor(F.col("block") / F.col("_q")) * frames + F.col("_place")
-            ).alias("slot"),
-            (F.col("_index") % block_docs).alias("offset"),
+                F.col("late") + F.col("block") * len(late), F.floor(F.col("block") / F.col("q")) * frames + F.col("place")
+            ),
         )
     )
-    return placed.filter(F.col("slot") < end) if filled and end is not None else placed
+    placed = placed.filter(F.col("slot") < end) if filled and end is not None else placed
+    added = [F.col("block"), F.col("slot"), F.col("index") % block_docs]
+    return placed.select(*[f"row.{quoted(n)}" for n in kept], *[c.alias(n) for c, n in zip(added, names)])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(k, group, start): rows of the source before each group, from sums over groups of groups."""
+    sizes = rows.groupBy("k", "group").agg(F.count(F.lit(1)).alias("n")).withColumn("far", F.floor(F.col("group") / FAR_GROUPS))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    far = sizes.groupBy("k", "far").agg(F.sum("n").alias("n"))
+    far = far.select("k", "far", F.coalesce(F.sum("n").over(before("k", "far")), zero).alias("far_start"))
+    near = sizes.withColumn("near_start", F.coalesce(F.sum("n").over(before("k", "far", "group")), zero))
+    return near.join(far, ["k", "far"]).select("k", "group", (F.col("far_start") + F.col("near_start")).alias("start"))
 
 
 def mixed(documents: DataFrame, weights: dict[str, float], **settings) -> DataFrame:
     """All rows of ``documents`` with their own columns, sorted by their place."""
-    ordered = mix(documents, weights, **settings)
-    return ordered.orderBy("slot", "offset").drop("block", "slot", "offset")
+    names = ("__mix_block", "__mix_slot", "__mix_offset")
+    return mix(documents, weights, **settings, names=names).orderBy(*names[1:]).drop(*names)

@@ -11,7 +11,7 @@ from tracewell.llm.common import read
 from tracewell.llm.embedding_dedup import near_vectors
 from tracewell.llm.line_dedup import line_dedup
 from tracewell.llm.minhash import near_duplicates
-from tracewell.llm.mixing import BLOCK_DOCS, frame_order, mix, shares
+from tracewell.llm.mixing import mix
 from tracewell.llm.pii import pseudonymise
 from tracewell.llm.quality import quality_verdicts
 from tracewell.llm.substring_dedup import substring_dedup
@@ -103,17 +103,32 @@ SELECT page_id, host, path,
 FROM p
 """
 
-_SOURCES = [f"src{i}" for i in range(20)]
-_PLACES = shares(_SOURCES, WEIGHTS)
-OP6_SQL = f"""
-WITH pattern(source, b, place) AS (VALUES {", ".join(f"('{s}', {b}, {i})" for i, (s, b) in enumerate(frame_order(_PLACES)))}),
-share(source, q) AS (VALUES {", ".join(f"('{s}', {q})" for s, q in _PLACES.items())}),
+#: Deadlines are computed here from the target weights, place by place: of the blocks that are released
+#: (block j of a source with q of F places from floor(j * F / q) on), the one due first, before ceil((j + 1) * F / q).
+OP6_SQL = """
+WITH RECURSIVE s AS (
+  SELECT source, row_number() OVER (ORDER BY source) AS i, count(*) OVER () - 3 AS others
+  FROM (SELECT DISTINCT source FROM documents)),
+w AS (
+  SELECT source, i, 100 * others AS f,
+         CASE source WHEN 'src0' THEN 15 * others WHEN 'src1' THEN 10 * others WHEN 'src2' THEN 8 * others ELSE 67 END AS q
+  FROM s),
+all_of AS (SELECT any_value(f) AS f, count(*) AS n, list(q ORDER BY i) AS q FROM w),
+run AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(range(n), lambda i: CAST(0 AS BIGINT)) AS taken, CAST(0 AS BIGINT) AS p FROM all_of
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, n + 1), lambda i: taken[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
+  FROM (
+    SELECT t, taken, n, f,
+           list_min(list_transform(range(1, n + 1), lambda i:
+             CASE WHEN taken[i] < q[i] AND taken[i] * f // q[i] <= t + 1 THEN ((taken[i] + 1) * f + q[i] - 1) // q[i] * 1000 + i END)) % 1000 AS pick
+    FROM run, all_of WHERE t + 1 < f)),
+pattern AS (SELECT w.source, taken[p] - 1 AS b, t AS place, q, f FROM run JOIN w ON w.i = p WHERE t >= 0),
 d AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS n
   FROM documents)
-SELECT doc_id, d.source, n // {BLOCK_DOCS} AS block, (n // {BLOCK_DOCS}) // q * {sum(_PLACES.values())} + place AS slot,
-       n % {BLOCK_DOCS} AS in_block
-FROM d JOIN share USING (source) JOIN pattern p ON p.source = d.source AND p.b = (n // {BLOCK_DOCS}) % q
+SELECT doc_id, d.source, n // 16 AS block, (n // 16) // q * f + place AS slot, n % 16 AS in_block
+FROM d JOIN pattern p ON p.source = d.source AND p.b = (n // 16) % q
 """
 
 OP8_SQL = r"""
