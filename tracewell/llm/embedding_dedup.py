@@ -2,13 +2,15 @@
 
 On unit vectors, cosine >= c means a distance of at most eps = sqrt(2 - 2c).
 Vectors are sorted by label and by the eps-wide grid cells of their leading
-principal coordinates and cut into sequence intervals. Intervals whose boxes in
-these coordinates are further apart than eps can't hold a link and never meet;
-the others are joined by recursive halving, with the same test at every step.
+principal coordinates and cut into sequence intervals. Two intervals meet if
+they hold vectors in neighbouring cells whose boxes in these coordinates are
+within eps of each other; others can't hold a link. Intervals that meet are
+joined by recursive halving, with the same test at every step.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,9 @@ from tracewell.llm.common import cut
 from tracewell.llm.components import components
 
 LEADING = 4
-#: Vectors in an interval, and in a piece that is compared by one matrix product.
-INTERVAL, PIECE = 1024, 128
+#: Numbers and vectors in an interval at most, and vectors in a piece that is compared by one matrix product.
+#: Longer intervals meet fewer others, so that each vector is sent less often.
+INTERVAL_NUMBERS, INTERVAL, PIECE = 1 << 18, 4096, 128
 #: Principal directions are fitted on this many vectors (smallest hash of vec_id); they decide only what is skipped.
 FIT_ROWS = 10_000
 
@@ -90,7 +93,7 @@ def _intervals(vectors: DataFrame, epsilon: float, directions: dict[int, np.ndar
         for batch in batches:
             blocks = []
             for key in zip(batch.column("label").to_pylist(), batch.column("size").to_pylist()):
-                if key != before or filled == INTERVAL:
+                if key != before or filled >= min(INTERVAL, INTERVAL_NUMBERS // max(key[1], 1) + 1):
                     block, filled, before = block + 1, 0, key
                 filled += 1
                 blocks.append(block)
@@ -100,24 +103,30 @@ def _intervals(vectors: DataFrame, epsilon: float, directions: dict[int, np.ndar
 
 
 def _interval_pairs(placed: DataFrame, epsilon: float) -> DataFrame:
-    """(a, b), a <= b: intervals of one label whose boxes are within epsilon of each other.
+    """(a, b), a <= b: intervals of one label that hold vectors in neighbouring cells with boxes within epsilon.
 
-    They meet by the grid cells of the first coordinate that they cover, one
-    cell more on one side.
+    An interval has a box in each cell that it covers; boxes meet on the cell,
+    each sent to its own cell and to all next to it.
     """
-    boxes = placed.groupBy("label", "size", "block").agg(
-        *[f(F.get("lead", i)).alias(f"{n}{i}") for i in range(LEADING) for n, f in (("lo", F.min), ("hi", F.max))]
+    lead = [f"{n}{i}" for i in range(LEADING) for n in ("lo", "hi")]
+    boxes = (
+        placed.withColumn("cell", F.transform("lead", lambda x: F.floor(x / epsilon).cast("bigint")))
+        .groupBy("label", "size", "block", "cell")
+        .agg(*[f(F.get("lead", i)).alias(f"{n}{i}") for i in range(LEADING) for n, f in (("lo", F.min), ("hi", F.max))])
+    )
+    steps = F.array(*[F.array(*map(F.lit, step)) for step in itertools.product((-1, 0, 1), repeat=LEADING)])
+    two = boxes.withColumn("step", F.explode(steps)).select(
+        "label",
+        "size",
+        F.zip_with("cell", "step", lambda c, s: c + s).alias("cell"),
+        *[F.col(c).alias("b_" + c) for c in ["block", *lead]],
     )
-    cell = lambda c, more: (F.floor(F.col(c) / epsilon) + more).cast("bigint")
-    one = boxes.withColumn("cell", F.explode(F.sequence(cell("lo0", 0), cell("hi0", 0))))
-    two = boxes.withColumn("cell", F.explode(F.sequence(cell("lo0", -1), cell("hi0", 1))))
-    two = two.select("label", "size", "cell", *[F.col(c).alias("b_" + c) for c in ["block", *boxes.columns[3:]]])
     gap = sum(
         F.pow(F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(f"b_hi{i}"), F.col(f"b_lo{i}") - F.col(f"hi{i}")), 2)
         for i in range(LEADING)
     )
-    near = one.join(two, ["label", "size", "cell"]).filter(gap <= (epsilon * (1 + 1e-9)) ** 2)
-    return near.select(F.least("block", "b_block").alias("a"), F.greatest("block", "b_block").alias("b")).distinct()
+    near = boxes.join(two, ["label", "size", "cell"]).filter("block <= b_block").filter(gap <= (epsilon * (1 + 1e-9)) ** 2)
+    return near.select(F.col("block").alias("a"), F.col("b_block").alias("b")).distinct()
 
 
 def join_intervals(
@@ -165,6 +174,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98, fit_rows: int = FI
     kept: it is the row's own, or the id is null. Rows that share a vec_id get
     the sum of their links each. Linked pairs are counted where they are found:
     two intervals send each other's counts and a spanning forest, never pairs.
+    A cosine is at the limit if the double-precision product of the two unit
+    vectors is. Other columns are ignored, whatever their names; an empty table
+    gives no row.
     """
     epsilon = float(np.sqrt(2 - 2 * cosine))
     vectors = usable(embeddings)
