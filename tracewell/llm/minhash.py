@@ -168,15 +168,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def _links_in_block(
-    band: int, ids: np.ndarray, components_of: np.ndarray, signature: np.ndarray, bands: np.ndarray, sets: list[np.ndarray],
-    left: np.ndarray, right: np.ndarray, percent: int, floor: float,
-) -> list[tuple[int, int]]:
-    """Links between different components, enough to connect all that are linked.
+class _Block:
+    """The members of two blocks of a band, and who of them may be linked."""
 
-    A pair is looked at in the first band that it shares.
-    """
-    odd, chance = np.uint64(0x5555555555555555), 1 / (1 << BITS)
+    def __init__(self, key: tuple[pa.Scalar, ...], table: pa.Table, floor: float):
+        self.band, p, q = (k.as_py() for k in key)
+        self.floor = floor
+        column = lambda n: table.column(n).combine_chunks()
+        matrix = lambda n: column(n).flatten().to_numpy().reshape(table.num_rows, -1)
+        self.ids, self.component = column("id").to_numpy(), column("component").to_numpy()
+        self.signature, self.bands = matrix("signature").astype(np.uint64), matrix("bands")
+        block = column("block").to_numpy()
+        self.left = np.flatnonzero(block == p)
+        self.right = self.left if p == q else np.flatnonzero(block == q)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components that are similar enough to ``i``, the most similar first.
+
+        A pair is looked at in the first band that it shares.
+        """
+        odd, chance = np.uint64(0x5555555555555555), 1 / (1 << BITS)
+        later = (self.right > i) | (self.left is not self.right)
+        others = self.right[(self.component[self.right] != self.component[i]) & later]
+        if not len(others):
+            return others
+        x = self.signature[others] ^ self.signature[i]
+        differing = np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1)
+        near = ((1 - differing / HASHES) - chance) / (1 - chance)
+        good = near >= self.floor
+        others, near = others[good], near[good]
+        if not len(others):
+            return others
+        first = self.bands[i][(self.bands[others] == self.bands[i]).argmax(axis=1)] == self.band
+        return others[first][np.argsort(-near[first], kind="stable")]
+
+
+def _links_in_block(block: _Block, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components, enough to connect all that are linked."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -185,36 +213,26 @@ def _links_in_block(
         return x
 
     links = []
-    for i in left:
-        others = right[(components_of[right] != components_of[i]) & ((right > i) | (left is not right))]
-        if not len(others):
-            continue
-        x = signature[others] ^ signature[i]
-        differing = np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1)
-        near = ((1 - differing / HASHES) - chance) / (1 - chance)
-        good = near >= floor
-        others, near = others[good], near[good]
-        shared = bands[others] == bands[i]
-        first = bands[i][shared.argmax(axis=1)] == band if len(others) else np.zeros(0, bool)
-        others, near = others[first], near[first]
-        for j in others[np.argsort(-near, kind="stable")]:
-            a, b = root(components_of[i]), root(components_of[j])
+    for i in block.left:
+        for j in block.partners(i):
+            a, b = root(block.component[i]), root(block.component[j])
             if a == b:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 parent[max(a, b)] = min(a, b)
-                links.append((int(ids[i]), int(ids[j])))
+                links.append((int(block.ids[i]), int(block.ids[j])))
     return links
 
 
-def _linked_in_blocks(rows: DataFrame, percent: int, floor: float) -> DataFrame:
-    """Links (a, b) inside large bands, from (band, id, component, signature, bands, shingles).
+def _linked_in_blocks(rows: DataFrame, sets: DataFrame, percent: int, floor: float) -> DataFrame:
+    """Links (a, b) inside large bands, from (band, id, component, signature, bands, n_shingles) and (id, shingles).
 
     Members outside a band's largest component meet all others, block by block:
-    what a task holds is bounded, and it sends links, not pairs.
+    what a task holds is bounded, and it sends links, not pairs. Signatures go
+    first; the sets follow only for members with a partner that is similar enough.
     """
-    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("s"))
+    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_SETS, s / BLOCK_SHINGLES)).cast("int")
     shape = (
         parts.groupBy("band")
@@ -236,29 +254,30 @@ def _linked_in_blocks(rows: DataFrame, percent: int, floor: float) -> DataFrame:
             F.sequence(F.lit(0), F.col("k") + F.col("l") - 1), lambda j: pair(F.least(F.col("block"), j), F.greatest(F.col("block"), j))
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: pair(i, F.col("block"))))
-    names = ["band", "p", "q", "id", "component", "signature", "bands", "shingles", "block"]
-    met = placed.withColumn("meet", F.explode(meets)).select(
-        "band", "meet.p", "meet.q", *names[3:]
-    )
+    names = ["band", "p", "q", "id", "component", "signature", "bands", "block"]
+    met = placed.withColumn("meet", F.explode(meets)).select("band", "meet.p", "meet.q", *names[3:])
+
+    def with_partner(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = _Block(key, table, floor)
+        wanted = np.zeros(table.num_rows, bool)
+        for i in block.left:
+            if len(found := block.partners(i)):
+                wanted[i] = True
+                wanted[found] = True
+        return table.select(names).filter(pa.array(wanted))
+
+    kinds = "band bigint, p int, q int, id bigint, component bigint, signature array<bigint>, bands array<bigint>, block int"
+    hopeful = cut(met.groupBy("band", "p", "q").applyInArrow(with_partner, kinds)).join(sets, "id")
 
     def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        band, p, q = (k.as_py() for k in key)
-        column = lambda n: table.column(n).combine_chunks()
-        lists = column("shingles")
+        lists = table.column("shingles").combine_chunks()
         edges = lists.offsets.to_numpy()
         values = lists.flatten().to_numpy()
-        sets = [values[a - edges[0] : b - edges[0]] for a, b in zip(edges, edges[1:])]
-        block = column("block").to_numpy()
-        left = np.flatnonzero(block == p)
-        right = left if p == q else np.flatnonzero(block == q)
-        matrix = lambda n: column(n).flatten().to_numpy().reshape(len(block), -1)
-        links = _links_in_block(
-            band, column("id").to_numpy(), column("component").to_numpy(), matrix("signature").astype(np.uint64), matrix("bands"),
-            sets, left, right, percent, floor,
-        )
+        each = [values[a - edges[0] : b - edges[0]] for a, b in zip(edges, edges[1:])]
+        links = _links_in_block(_Block(key, table, floor), each, percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return met.groupBy("band", "p", "q").applyInArrow(join, "a bigint, b bigint")
+    return hopeful.groupBy("band", "p", "q").applyInArrow(join, "a bigint, b bigint")
 
 
 def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -278,6 +297,7 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
         .groupBy("set_a", "set_b")
         .agg(
             F.min(F.struct("doc_id", "text_key")).alias("least"),
+            F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"),
             F.first("bands").alias("bands"),
         )
@@ -338,8 +358,8 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     near = estimate(F.col("s"), F.col("t"))
     across = cut(one.join(two, "band").filter("x < y").filter(near >= floor).select("a", "b").distinct())
     hot = opened.filter("large").select("band", "id", "component")
-    hot = hot.join(classes.select("id", "signature", "bands"), "id").join(sets, "id")
-    more = cut(_confirmed(across, sets, percent)).unionByName(cut(_linked_in_blocks(hot, percent, floor)))
+    hot = hot.join(classes.select("id", "signature", "bands", "n_shingles"), "id")
+    more = cut(_confirmed(across, sets, percent)).unionByName(cut(_linked_in_blocks(hot, sets, percent, floor)))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
