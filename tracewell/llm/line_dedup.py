@@ -87,7 +87,10 @@ def repeated_chunks(documents: DataFrame, min_lines: int = MIN_LINES, roll: int
     )
     texts = rows.join(groups, "key").select("key", "chunk").distinct()
     mixed = cut(texts.groupBy("key").count().filter("count > 1").select("key"))
-    equal = keyed.join(groups, "key").join(mixed, "key", "left_anti").filter(F.col("first") != place)
+    repeated = keyed.join(groups, "key").filter(F.col("first") != place)
+    if mixed.isEmpty():
+        return repeated.select("doc_id", "hash", "at").distinct()
+    equal = repeated.join(mixed, "key", "left_anti")
     members = rows.join(mixed, "key")
     firsts = members.groupBy("key", "chunk").agg(F.min(place).alias("first"))
     others = members.join(firsts, ["key", "chunk"]).filter(F.col("first") != place)
