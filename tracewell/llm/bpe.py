@@ -21,6 +21,9 @@ from itertools import chain
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewell.llm.common import quoted
 
 #: Pieces whose tokens a Python worker keeps; beyond it the memory starts anew.
 CACHED_PIECES = 400_000
@@ -237,14 +240,18 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, keep:
 
     Returns the columns ``keep`` and n_tokens, ids_sha256 (of the decimal ids
     joined by one space), decoded_sha256 (of the decoded bytes) and, if asked
-    for, the ids. Null and empty texts have no tokens. The vocabulary is read
-    where the query is made and sent to the executors (half a megabyte).
+    for, the ids. Null and empty texts have no tokens. Every row is encoded for
+    itself: repeated rows stay repeated, and an empty table stays empty. Columns
+    of the added names are replaced. The vocabulary is read where the query is
+    made and sent to the executors (half a megabyte).
     """
+    added = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
+    keep = [name for name in keep if name not in added]
     with open(ranks_path, "rb") as file:
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
-    schema = documents.select(*keep).schema
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema])
-    fields += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema = documents.select(*map(quoted, keep)).schema
+    kinds = ["bigint", "string", "string", *["array<int>"] * ids]
+    fields = ", ".join([f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema] + [f"{n} {k}" for n, k in zip(added, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
@@ -258,17 +265,19 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, keep:
                     decoded.append(hashlib.sha256(encoder.decode(tokens)).hexdigest())
                     if ids:
                         lists.append(tokens)
-                columns = [part.column(name) for name in keep] + [pa.array(counts, pa.int64()), pa.array(names), pa.array(decoded)]
+                columns = [part.column(i) for i in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(names), pa.array(decoded)]
                 columns += [pa.array(lists, pa.list_(pa.int32()))] * ids
                 yield pa.RecordBatch.from_arrays(
-                    columns, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
+                    columns, names=[*keep, *added]
                 )
 
-    return documents.select(*keep, *[c for c in ["text"] if c not in keep]).mapInArrow(run, fields)
+    # Names with full stops can't be used there.
+    kept = [F.col(quoted(name)).alias(f"kept_{i}") for i, name in enumerate(keep)]
+    return documents.select(*kept, "text").mapInArrow(run, fields)
 
 
 def token_counts(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """n_tokens of every row, and nothing else."""
+    """n_tokens of every row, and nothing else; 0 for null and empty texts."""
     with open(ranks_path, "rb") as file:
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
 

@@ -35,6 +35,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _units(rows: np.ndarray) -> np.ndarray:
+    """The rows with length 1; they are scaled first, so that no square overflows or vanishes."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _directions(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
     """Leading principal directions for each number of dimensions."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").toArrow().column(0)
@@ -43,8 +49,7 @@ def _directions(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
         by_size.setdefault(len(vector), []).append(vector)
     out = {}
     for size, some in by_size.items():
-        units = np.array(some, np.float64)
-        units /= np.linalg.norm(units, axis=1, keepdims=True)
+        units = _units(np.array(some, np.float64))
         _, axes = np.linalg.eigh(np.cov(units.T, ddof=0).reshape(size, size))
         out[size] = np.ascontiguousarray(axes[:, ::-1][:, :LEADING])
     return out
@@ -70,7 +75,7 @@ def _intervals(vectors: DataFrame, epsilon: float, directions: dict[int, np.ndar
                 at = np.flatnonzero(sizes == size)
                 rows = _matrix(batch.column("embedding").take(pa.array(at)))
                 axes = directions.get(int(size), np.eye(int(size))[:, :LEADING])
-                lead[at, : axes.shape[1]] = rows @ axes / np.linalg.norm(rows, axis=1, keepdims=True)
+                lead[at, : axes.shape[1]] = _units(rows) @ axes
             cells = np.floor(lead / epsilon).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -191,8 +196,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98, fit_rows: int = FI
         a, b = key[0].as_py(), key[1].as_py()
         table = table.combine_chunks()
         blocks = table.column("block").to_numpy()
-        units = _matrix(table.column("embedding").combine_chunks())
-        units /= np.linalg.norm(units, axis=1, keepdims=True)
+        units = _units(_matrix(table.column("embedding").combine_chunks()))
         lead = _matrix(table.column("lead").combine_chunks())
         ids = table.column("vec_id").to_numpy()
         parts = []

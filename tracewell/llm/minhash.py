@@ -390,7 +390,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     where it has no link; kept means that it is the row's own. Rows without a
     doc_id take part in nothing and are kept. Rows with one doc_id and
     different texts are judged each for itself; linked to each other, both are
-    kept if the id is the smallest.
+    kept if the id is the smallest. Texts of any length are taken whole, other
+    columns are ignored, and an empty table gives no row.
     """
     return near_groups(documents, width, percent).select(
         "doc_id",

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, let, words
+from tracewell.llm.common import cut, let, quoted, words
 
 BUCKETS = 1 << 16
 #: Trusted documents used at most, those with the smallest hash of doc_id.
@@ -131,8 +131,11 @@ def quality_verdicts(
     fewer than 50 words, or more than half of the words in 3-word windows that
     repeat. ``kept``: not failed, and a score of at least ``threshold``;
     without trusted documents the score is null and the counting rules alone
-    decide. A null doc_id is an id like any other.
+    decide. A null doc_id is an id like any other. Other columns play no part;
+    an empty table gives no row. ``buckets`` has to be a power of two.
     """
+    if buckets < 1 or buckets & (buckets - 1):
+        raise ValueError("buckets has to be a power of two")
     ratios = fit_log_ratios(documents, trusted_ids(labels, trusted_rows), buckets)
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -168,9 +171,11 @@ def quality_verdicts(
 
 
 def quality_filter(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``documents`` whose verdict is to keep them, with all their columns."""
-    kept = quality_verdicts(documents, labels, **settings).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
-    )
-    same = documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"]) == F.col("_hash"))
-    return documents.join(kept, same, "left_semi")
+    """The rows of ``documents`` whose verdict is to keep them, with all their columns, whatever these are named.
+
+    Equal rows share their verdict: all stay or none. Null texts go.
+    """
+    kept = quality_verdicts(documents, labels, **settings).filter("kept")
+    rows = documents.select(F.struct(*map(quoted, documents.columns)).alias("row"), F.xxhash64("text").alias("hash"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    return rows.join(kept.select("doc_id", "text_hash"), same, "left_semi").select("row.*")

@@ -281,6 +281,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, prefix: int = PR
     texts have no words; texts shorter than the window lose nothing. Rows
     without a doc_id lose nothing and cause no loss; rows with one doc_id are
     one document to each other: each loses what its own text shares with smaller ids.
+    Other columns are ignored, whatever their names; an empty table gives no row.
     """
     wide = documents.select("doc_id", F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_key"), "text")
     runs = (

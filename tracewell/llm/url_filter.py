@@ -39,10 +39,12 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], default: str =
     """Judge every row of ``pages`` (page_id, url) by ``rules``: (verdict, "host/path").
 
     A rule fits its host and all subdomains if the url's path starts with the
-    rule's path; the longest fitting rule wins, then the alphabetically first.
-    Without a fitting rule the verdict is ``default``. Null urls and urls
+    rule's path; the longest fitting rule wins, then the alphabetically first. A
+    rule given with both verdicts allows. Without a fitting rule the verdict is ``default``. Null urls and urls
     without ``://`` have an empty host and path and fit no rule. Equal rows
-    (same page_id and url) each get a row; other columns are ignored.
+    (same page_id and url) each get a row; other columns are ignored, whatever
+    their names. Urls of any length are judged whole, an empty table gives no
+    row, and without rules all urls get the default.
 
     Returns page_id, host, path, rule, verdict.
     """
@@ -59,16 +61,15 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], default: str =
         table = F.broadcast(table)
 
     labels = F.split("host", r"\.")
-    expressions = [
-        F.when(
-            (F.size(labels) >= n) & (F.length("path") >= length),
-            F.concat(F.array_join(F.slice(labels, -n, n), "."), F.substring("path", 1, length)),
-        )
-        for n, length in shapes
-    ]
+    table_of = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(length).alias("length")) for n, length in shapes])
+    fitting = F.filter(table_of, lambda s: (s["n"] <= F.size(labels)) & (s["length"] <= F.length("path")))
+    expressions = F.transform(
+        fitting,
+        lambda s: F.concat(F.array_join(F.slice(labels, -s["n"], s["n"]), "."), F.substring(F.col("path"), F.lit(1), s["length"])),
+    )
     # Equal (page, host, path) rows travel as one row with a count.
     unique = judged.groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
-    expanded = unique.select("*", F.explode(F.array_append(F.array_compact(F.array(*expressions)), "")).alias("expression"))
+    expanded = unique.select("*", F.explode(F.array_append(expressions, "")).alias("expression"))
     expanded = expanded.withColumn("digest_of", F.sha2("expression", 256)).withColumn(
         "short", F.substring("digest_of", 1, PREFIX_HEX)
     )
