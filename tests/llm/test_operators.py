@@ -235,10 +235,9 @@ def closure(ids, linked):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("width,large", [(2, 64), (5, 64), (2, 2)])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, width, large):
-    monkeypatch.setattr(minhash, "LARGE", large)
-    monkeypatch.setattr(minhash, "BLOCK_SETS", 4 if large == 2 else 512)
+@pytest.mark.parametrize("width,block", [(2, 512), (5, 512), (2, 4)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, width, block):
+    monkeypatch.setattr(minhash, "BLOCK_SETS", block)
     texts = some_texts(7, n=40, vocabulary=500) + ["One two THREE", "one TWO three", "lonely"]
     random.seed(8)
     base = [f"b{i}" for i in range(120)]

@@ -26,8 +26,8 @@ HASHES = BANDS * ROWS
 BITS = 2
 #: The estimate deviates by 0.04 (one sigma) at 0.8: candidates below 0.6 are five sigmas away.
 SLACK = 0.2
-#: Bands with more members are compared in blocks; a block holds about so many sets and shingles at most.
-LARGE, BLOCK_SETS, BLOCK_SHINGLES = 16, 512, 1 << 20
+#: Bands are compared in blocks; a block holds about so many sets and shingles at most.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def _shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,12 +226,14 @@ def _links_in_block(block: _Block, sets: list[np.ndarray], percent: int) -> list
 
 
 def _linked_in_blocks(rows: DataFrame, sets: DataFrame, percent: int, floor: float) -> DataFrame:
-    """Links (a, b) inside large bands, from (band, id, component, signature, bands, n_shingles) and (id, shingles).
+    """Links (a, b) inside bands, from (band, id, component, signature, bands, n_shingles) and (id, shingles).
 
-    Members outside a band's largest component meet all others, block by block:
-    what a task holds is bounded, and it sends links, not pairs. Signatures go
-    first; the sets follow only for members with a partner that is similar enough.
+    Members outside a band's largest component meet all others, block by block
+    (a small band is one block): what a task holds is bounded, and it sends
+    links, not pairs. Signatures go first; the sets follow only for members
+    with a partner that is similar enough.
     """
+    whole = (F.col("n") <= BLOCK_SETS) & (F.col("s") <= BLOCK_SHINGLES)
     parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_SETS, s / BLOCK_SHINGLES)).cast("int")
     shape = (
@@ -239,12 +241,13 @@ def _linked_in_blocks(rows: DataFrame, sets: DataFrame, percent: int, floor: flo
         .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("most"))
         .select(
             "band",
-            F.col("most.component").alias("main"),
-            blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("k"),
-            blocks(F.col("most.n"), F.col("most.s")).alias("l"),
+            F.when(~whole, F.col("most.component")).alias("main"),
+            F.when(whole, 1).otherwise(blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s"))).alias("k"),
+            F.when(whole, 0).otherwise(blocks(F.col("most.n"), F.col("most.s"))).alias("l"),
         )
     )
-    placed = rows.join(shape, "band").withColumn("minor", F.col("component") != F.col("main"))
+    minor = F.coalesce(F.col("component") != F.col("main"), F.lit(True))
+    placed = rows.join(shape, "band").withColumn("minor", minor)
     block = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("k")).otherwise(F.col("l"))).cast("int")
     placed = placed.withColumn("block", F.when(F.col("minor"), block).otherwise(F.col("k") + block))
     pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
@@ -288,8 +291,7 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     First every class is compared with the most similar one among the centres
     and the smallest members of its bands; components of these links settle most
     bands. In bands that still hold several components, pairs across components
-    are estimated and, unless far below the limit, confirmed. Bands with more
-    than ``LARGE`` members do the same inside blocks, without sending pairs.
+    are estimated and, unless far below the limit, confirmed, inside blocks.
     """
     features = cut(set_features(documents, width))
     classes = cut(
@@ -347,19 +349,12 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     )
     open_bands = (
         labelled.groupBy("band")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
         .filter("x < y")
-        .select("band", (F.col("members") > LARGE).alias("large"))
+        .select("band")
     )
-    opened = cut(labelled.join(open_bands, "band"))
-    rest = opened.filter("not large").join(signed, "id")
-    one = rest.select("band", F.col("id").alias("a"), F.col("component").alias("x"), F.col("signature").alias("s"))
-    two = rest.select("band", F.col("id").alias("b"), F.col("component").alias("y"), F.col("signature").alias("t"))
-    near = estimate(F.col("s"), F.col("t"))
-    across = cut(one.join(two, "band").filter("x < y").filter(near >= floor).select("a", "b").distinct())
-    hot = opened.filter("large").select("band", "id", "component")
-    hot = hot.join(classes.select("id", "signature", "bands", "n_shingles"), "id")
-    more = cut(_confirmed(across, sets, percent)).unionByName(cut(_linked_in_blocks(hot, sets, percent, floor)))
+    opened = cut(labelled.join(open_bands, "band").join(classes.select("id", "signature", "bands", "n_shingles"), "id"))
+    more = cut(_linked_in_blocks(opened, sets, percent, floor))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
