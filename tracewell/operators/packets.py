@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import signed_wrap
 from tracewell.operators import sequence as S
+from tracewell.operators.sdp import static_value
 
 #: Link types, ether types, protocol numbers.
 ETHERNET, RAW_IP, LINUX_SLL, LINUX_SLL2 = 1, 101, 113, 276
 IPV4, IPV6, VLAN = 0x0800, 0x86DD, (0x8100, 0x88A8)
 UDP, TCP = 17, 6
 
-FLOW = ["capture", "interface", "src_ip", "src_port", "dst_ip", "dst_port", "ssrc"]
+#: connection and channel are those of RTP inside TCP; 0 and -1 for datagrams.
+FLOW = ["capture", "interface", "src_ip", "src_port", "dst_ip", "dst_port", "connection", "channel", "ssrc"]
 
 
 def uint(data: Column, at: Column | int, size: int) -> Column:
@@ -97,11 +99,21 @@ def segments(frames: DataFrame) -> DataFrame:
     return frames.filter("data is not null").select(*names[:4], "link_type", "data").mapInArrow(run, _SEGMENT)
 
 
+def interleaved_payloads(messages: DataFrame) -> DataFrame:
+    """The ``$`` frames of TCP streams in the form of segments, with their connection and channel."""
+    return messages.filter("kind = 'interleaved'").select(
+        "capture", "interface", "number", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "connection", "channel",
+        F.lit("interleaved").alias("proto"), F.col("data").alias("payload"),
+    )
+
+
 def rtp_packets(some: DataFrame) -> DataFrame:
-    """RTP packets among the UDP payloads: version 2, complete header, payload types below 64 or from 96 on."""
+    """RTP packets among datagrams and ``$`` frames: version 2, complete header, payload types below 64 or from 96 on."""
     p = F.col("payload")
     first, second = uint(p, 0, 1), uint(p, 1, 1)
-    parsed = some.filter("proto = 'udp'").filter(
+    for name, default in (("connection", 0), ("channel", -1)):
+        some = some.withColumn(name, F.coalesce(name, F.lit(default)) if name in some.columns else F.lit(default))
+    parsed = some.filter("proto in ('udp', 'interleaved')").filter(
         (F.octet_length(p) >= 12) & (F.shiftright(first, 6) == 2) & ~(second % 128).between(64, 95)
     )
     fixed = 12 + 4 * (first % 16)
@@ -124,37 +136,69 @@ def rtp_packets(some: DataFrame) -> DataFrame:
     )
 
 
-def rtp_statistics(rtp: DataFrame, clock: int = 90_000) -> DataFrame:
-    """One row per flow: sequence counters, jitter (ms), peak and mean bit rate, payload types, change counts."""
+def rtp_statistics(rtp: DataFrame, clock: int = 90_000, flow: list[str] = FLOW) -> DataFrame:
+    """One row per flow: sequence counters, jitter (ms), rollbacks and changes, peak and mean bit rate, payload types.
+
+    The clock of a packet is its column ``clock`` if there is one (from a
+    session description), else that of its static payload type, else ``clock``.
+    """
     order = ["number"]
-    rows = S.unwrap(rtp, FLOW, order, "seq", 1 << 16)
-    counters = S.sequence_statistics(rows, FLOW, order, "ext")
-    unique = S.first_copies(rows, [*FLOW, "ext"], order)
-    w = Window.partitionBy(*FLOW).orderBy(*order)
+    known = static_value(F.col("pt"), "clock_rate")
+    rate_of = F.coalesce(*([F.col("clock")] if "clock" in rtp.columns else []), known, F.lit(clock))
+    rows = S.unwrap(rtp.withColumn("_clock", rate_of), flow, order, "seq", 1 << 16)
+    counters = S.sequence_statistics(rows, flow, order, "ext")
+    unique = S.first_copies(rows, [*flow, "ext"], order)
+    w = Window.partitionBy(*flow).orderBy(*order)
     transit = (F.col("ts_us") - F.lag("ts_us").over(w)) / 1000 - signed_wrap(
         F.col("rtp_ts") - F.lag("rtp_ts").over(w), 1 << 32
-    ) * 1000 / clock
+    ) * 1000 / F.col("_clock")
     moved = unique.withColumn("deviation", transit)
-    jitter = S.jitter(moved, FLOW, order, F.col("deviation"))
-    rate = S.tumbling_peak(unique.withColumn("bits", F.col("size") * 8), FLOW, "ts_us", "bits", 1_000_000)
-    seen = unique.groupBy(*FLOW).agg(
+    jitter = S.jitter(moved, flow, order, F.col("deviation"))
+    rate = S.tumbling_peak(unique.withColumn("bits", F.col("size") * 8), flow, "ts_us", "bits", 1_000_000)
+    before = F.max("ext").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = unique.withColumn("_adv", before.isNull() | (F.col("ext") > before))
+    back = S.rollbacks(ahead, flow, order, F.col("_adv"), "rtp_ts", 1 << 32)
+    turns = S.changes(unique, flow, order, "pt").withColumnRenamed("changes", "payload_type_changes")
+    seen = unique.groupBy(*flow).agg(
         F.sort_array(F.collect_set("pt")).alias("payload_types"),
         F.min("number").alias("first_packet"),
         F.max("number").alias("last_packet"),
+        F.count_if("marker").alias("markers"),
     )
     # All of them are grouped by the flow already, so the joins need no shuffle of packets.
-    out = counters.join(jitter, FLOW).join(rate.drop("n"), FLOW).join(seen, FLOW)
+    out = counters
+    for more in (jitter, rate.drop("n"), back, turns, seen):
+        out = out.join(more, flow)
     return out.select(
-        *FLOW,
-        *[c for c in counters.columns if c not in FLOW],
+        *flow,
+        *[c for c in counters.columns if c not in flow],
         F.round("jitter", 3).alias("jitter_ms"),
+        "rollbacks",
+        "payload_type_changes",
         F.col("peak").alias("peak_bps"),
         F.when(F.col("span") > 0, F.floor(F.col("total") * 1_000_000 / F.col("span"))).alias("mean_bps"),
         F.floor(F.col("span") / 1000).alias("duration_ms"),
         "payload_types",
         "first_packet",
         "last_packet",
+        "markers",
+    )
+
+
+def transport_summary(frames: DataFrame, some: DataFrame) -> DataFrame:
+    """Per capture: frames, those with a segment, ignored ones and why the first was, truncated ones, duration in ms."""
+    parsed = some.groupBy("capture").agg(
+        F.count_if(F.col("skipped").isNull()).alias("segments"),
+        F.count("skipped").alias("ignored"),
+        F.min_by("skipped", F.when(F.col("skipped").isNotNull(), F.col("number"))).alias("first_reason"),
+    )
+    whole = frames.groupBy("capture").agg(
+        F.count("number").alias("frames"),
+        F.count_if("truncated").alias("truncated"),
+        F.floor((F.max("ts_us") - F.min("ts_us")) / 1000).alias("duration_ms"),
+        F.max("error").alias("error"),
     )
+    return whole.join(parsed, "capture", "left")
 
 
 def stream_ids(statistics: DataFrame) -> DataFrame:

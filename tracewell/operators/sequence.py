@@ -5,6 +5,9 @@ Each operator needs one shuffle on the flow key; windows of one flow share it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,15 +80,17 @@ def jitter(rows: DataFrame, flow: Keys, order: Keys, deviation: Column) -> DataF
     return sized.groupBy(*flow).agg(F.coalesce(F.sum(F.col("_d") * weight), F.lit(0.0)).alias("jitter"))
 
 
-def rollbacks(rows: DataFrame, flow: Keys, order: Keys, ahead: Column, at: str) -> DataFrame:
-    """How often an advancing row's clock is behind that of the last advancing one."""
+def rollbacks(rows: DataFrame, flow: Keys, order: Keys, ahead: Column, at: str, modulus: int | None = None) -> DataFrame:
+    """How often an advancing row's clock is behind that of the last advancing one; clocks wrap at ``modulus``."""
     w = _window(flow, order)
     marked = rows.withColumn("_ahead", ahead)
     last = F.last(F.when(F.col("_ahead"), F.col(at)), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    step = F.col(at) - F.col("_last")
+    behind = (signed_wrap(step, modulus) if modulus else step) < 0
     return (
         marked.withColumn("_last", last)
         .groupBy(*flow)
-        .agg(F.count_if(F.col("_ahead") & (F.col(at) < F.col("_last"))).alias("rollbacks"))
+        .agg(F.count_if(F.col("_ahead") & behind).alias("rollbacks"))
     )
 
 
@@ -105,6 +110,58 @@ def stages(rows: DataFrame, flow: Keys, order: Keys, at: str, gap: int) -> DataF
     return rows.withColumn("_start", F.coalesce(start, F.lit(0))).withColumn("stage", F.sum("_start").over(w)).drop("_start")
 
 
+#: Sequence numbers from this far ahead to that far behind (modulo 2**16) count as a jump.
+JUMP_FROM, JUMP_BELOW = 3_001, 65_436
+
+
+def restarts(rows: DataFrame, flow: Keys, order: Keys, seq: str) -> DataFrame:
+    """The stage (0, 1 and so on) of each row of a 16-bit sequence; null for rows left out.
+
+    A jump that the next row confirms by the following number starts a stage;
+    other rows that jump belong to none. One fold over a flow's rows in order,
+    whose state is the highest number and the stage.
+    """
+    follower = F.lead(seq).over(_window(flow, order))
+    ahead = rows.withColumn("_next", follower).repartition(*flow).sortWithinPartitions(*flow, *order)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ahead.schema if f.name != "_next") + ", stage bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, highest, stage = None, 0, 0
+        for batch in batches:
+            out = []
+            keys = zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in flow])
+            numbers = batch.column(batch.schema.get_field_index(seq)).to_pylist()
+            for this, number, after in zip(keys, numbers, batch.column(batch.schema.get_field_index("_next")).to_pylist()):
+                if this != key:
+                    key, highest, stage = this, number, 0
+                step = (number - highest) % 65_536
+                if JUMP_FROM <= step < JUMP_BELOW:
+                    if after != (number + 1) % 65_536 or step + 1 >= JUMP_BELOW:
+                        out.append(None)
+                        continue
+                    stage, highest = stage + 1, number
+                elif step < 32_768:
+                    highest = number
+                out.append(stage)
+            kept = [n for n in batch.schema.names if n != "_next"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(out, pa.int64())], names=[*kept, "stage"])
+
+    return ahead.mapInArrow(run, fields)
+
+
+def gaps(rows: DataFrame, flow: Keys, order: Keys, seq: str, first: int = 256) -> DataFrame:
+    """The first ``first`` gaps of each flow in an unfolded sequence: the row after it, the first number missing, how many."""
+    w = _window(flow, order)
+    before = F.max(seq).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("_before", before).withColumn("missing", F.col(seq) - F.col("_before") - 1)
+    found = marked.filter((F.col("missing") >= 1) & (F.col("missing") < JUMP_FROM - 1))
+    return (
+        found.withColumn("gap", F.row_number().over(w))
+        .filter(F.col("gap") <= first)
+        .select(*flow, *order, "gap", (F.col("_before") + 1).alias("first_missing"), "missing")
+    )
+
+
 def runs(rows: DataFrame, flow: Keys, order: Keys, state: Column, index: str) -> DataFrame:
     """Maximal runs of rows where ``state`` holds: first, last and length; ``index`` numbers the flow's rows."""
     w = _window(flow, order)

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tracewell.plans import flows, relations, signals  # noqa: E402,F401
+from tracewell.plans import flows, relations, signals, wire  # noqa: E402,F401
