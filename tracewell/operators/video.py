@@ -12,6 +12,7 @@ from tracewell.operators.packets import FLOW, uint
 
 #: Fixed values of the payload formats: aggregation and fragmentation unit types.
 H264_STAP_A, H264_FU_A = 24, 28
+H265_AP, H265_FU = 48, 49
 H264_SLICE, H264_IDR, H264_SEI, H264_SPS, H264_PPS = 1, 5, 6, 7, 8
 LARGEST_FRAGMENTED = 8 << 20
 
@@ -24,14 +25,32 @@ def h265_type(data: Column) -> Column:
     return (F.shiftright(uint(data, 0, 1), 1) % 64).cast("int")
 
 
-def depacketise(rtp: DataFrame) -> DataFrame:
-    """H.264 units of RTP flows in sequence order (single units, STAP-A, FU-A).
+def _h264_form(body: bytes) -> tuple[str, int, bytes, bool, bool]:
+    """(form, where its contents begin, the unit header of a fragment, whether it begins, whether it ends)."""
+    kind = body[0] % 32
+    if kind == H264_FU_A and len(body) > 1:
+        return "fragment", 2, bytes([body[0] & 0xE0 | body[1] & 0x1F]), bool(body[1] & 0x80), bool(body[1] & 0x40)
+    form = "bad_fragment" if kind == H264_FU_A else "aggregate" if kind == H264_STAP_A else "single" if 0 < kind < H264_STAP_A else "other"
+    return form, 1, b"", False, False
+
+
+def _h265_form(body: bytes) -> tuple[str, int, bytes, bool, bool]:
+    kind = body[0] >> 1 & 63
+    if kind == H265_FU and len(body) > 2:
+        return "fragment", 3, bytes([body[0] & 0x81 | (body[2] & 63) << 1, body[1]]), bool(body[2] & 0x80), bool(body[2] & 0x40)
+    form = "bad_fragment" if kind == H265_FU or len(body) < 2 else "aggregate" if kind == H265_AP else "single" if kind < H265_AP else "other"
+    return form, 2, b"", False, False
+
+
+def depacketise(rtp: DataFrame, codec: str = "h264") -> DataFrame:
+    """Units of H.264 or H.265 RTP flows in sequence order (single units, aggregates, fragments).
 
     Columns: the flow, rtp_ts, first_seq, last_seq, complete, marker, issue,
     data. A fragment whose neighbour is missing ends its unit as incomplete.
     ``rtp`` needs ``ext``, the unfolded sequence number; one flow is one
     sequential fold whose state is one open unit, whatever its length.
     """
+    form_of = _h264_form if codec == "h264" else _h265_form
     kinds = {f.name: f.dataType.simpleString() for f in rtp.schema}
     fields = ", ".join(f"{c} {kinds[c]}" for c in FLOW)
     fields += ", rtp_ts bigint, first_seq bigint, last_seq bigint, complete boolean, marker boolean, issue string, data binary"
@@ -61,28 +80,26 @@ def depacketise(rtp: DataFrame) -> DataFrame:
             elif opened and ts != opened[0]:
                 yield close("fua_timestamp_changed")
             last = seq
-            kind = body[0] % 32 if body else 0
             single = lambda data, issue=None: (*key, ts, seq, seq, issue is None, marker, issue, data)
             if not body:
                 yield single(b"", "empty_rtp_payload")
-            elif kind == H264_FU_A:
-                if len(body) < 2:
-                    yield single(body, "fua_header")
-                    return
-                begins, ends = body[1] & 0x80, body[1] & 0x40
+                return
+            form, at, header, begins, ends = form_of(body)
+            if form == "bad_fragment":
+                yield single(body, "fua_header")
+            elif form == "fragment":
                 if begins:
                     if opened:
                         yield close("fua_missing_end")
-                    opened = (ts, seq, bytearray([body[0] & 0xE0 | body[1] & 0x1F]), False)
+                    opened = (ts, seq, bytearray(header), False)
                 elif not opened:
-                    yield single(bytes([body[0] & 0xE0 | body[1] & 0x1F]) + body[2:], "fua_missing_start")
+                    yield single(header + body[at:], "fua_missing_start")
                     return
-                opened[2].extend(body[2:])
+                opened[2].extend(body[at:])
                 if ends or len(opened[2]) > LARGEST_FRAGMENTED:
                     opened = (*opened[:3], bool(ends))
                     yield close(None, marker)
-            elif kind == H264_STAP_A:
-                at = 1
+            elif form == "aggregate":
                 while at + 2 <= len(body):
                     size = int.from_bytes(body[at : at + 2], "big")
                     if at + 2 + size > len(body):
@@ -90,7 +107,7 @@ def depacketise(rtp: DataFrame) -> DataFrame:
                         return
                     yield single(body[at + 2 : at + 2 + size])
                     at += 2 + size
-            elif 0 < kind < H264_STAP_A:
+            elif form == "single":
                 yield single(body)
             else:
                 yield single(body, "unsupported_packetization")
