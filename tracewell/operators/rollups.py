@@ -63,3 +63,14 @@ def reasons(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """The names of the tests that a row fails, and whether it fails none."""
     failed = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
     return rows.withColumn("reasons", F.array_join(failed, ",")).withColumn("sufficient", F.col("reasons") == "")
+
+
+def history(rows: DataFrame, run: Keys, severity: str, kind: str, at: str, newest: int = 20) -> DataFrame:
+    """The newest runs with their rows, findings that are critical or high, distinct kinds and last time (a list's first page)."""
+    counted = rows.groupBy(*run).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col(severity).isin("critical", "high")).alias("critical"),
+        F.count_distinct(kind).alias("kinds"),
+        F.max(at).alias("newest"),
+    )
+    return counted.orderBy(F.desc("newest")).limit(newest)
