@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import collections
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +43,6 @@ def nearest(rows: DataFrame, flow: Keys, order: Keys, at: str, where: Column, va
     ).drop("_b", "_bt", "_a", "_at")
 
 
-def unique_match(left: DataFrame, right: DataFrame, on: Column, left_key: str, right_key: str) -> DataFrame:
-    """Pairs of keys where the left row has exactly one partner."""
-    pairs = left.join(right, on)
-    return (
-        pairs.groupBy(left_key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(right_key).alias(right_key))
-        .filter("_n = 1")
-        .drop("_n")
-    )
-
-
 def mutual_nearest(rows: DataFrame, flow: Keys, order: Keys, at: str, kind: str, one: str, two: str, key: str, within: int) -> DataFrame:
     """Pairs of a ``one`` and a ``two`` row that are each other's nearest, at most ``within`` apart."""
     some = rows.filter(F.col(kind).isin(one, two))
@@ -63,21 +57,54 @@ def mutual_nearest(rows: DataFrame, flow: Keys, order: Keys, at: str, kind: str,
 def greedy_pairs(rows: DataFrame, flow: Keys, at: str, kind: str, one: str, two: str, key: str, within: int) -> DataFrame:
     """Each ``one`` row in order takes the nearest free ``two`` row of its flow, at most ``within`` away.
 
-    A row taken is gone for those that follow, so every flow is a sequential
-    fold over its rows.
+    Of two equally near rows the earlier is taken; a row taken is gone for
+    those that follow. One fold over a flow's rows in order: a row waits until
+    all that are near it have come, so the state is what lies within reach.
     """
-    import pandas as pd
-
-    def fold(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values([at, key])
-        free = list(table.loc[table[kind] == two, [at, key]].itertuples(index=False, name=None))
-        out = []
-        for t, k in table.loc[table[kind] == one, [at, key]].itertuples(index=False, name=None):
-            best = min(((abs(u - t), u, i) for i, (u, _) in enumerate(free) if abs(u - t) <= within), default=None)
-            if best:
-                out.append((*table[flow].iloc[0], k, free.pop(best[2])[1], best[0]))
-        return pd.DataFrame(out, columns=[*flow, "a", "b", "distance"])
-
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     fields = ", ".join([f"`{c}` {kinds[c]}" for c in flow] + [f"a {kinds[key]}", f"b {kinds[key]}", f"distance {kinds[at]}"])
-    return rows.filter(F.col(kind).isin(one, two)).groupBy(*flow).applyInPandas(fold, fields)
+
+    def nearest_free(free: list[tuple], t: int) -> int | None:
+        """The place of the free row nearest to t, the first of equal ones."""
+        right = bisect.bisect_left(free, (t,))
+        left = bisect.bisect_left(free, (free[right - 1][0],)) if right else None
+        near = [i for i in (left, right) if i is not None and i < len(free) and abs(free[i][0] - t) <= within]
+        return min(near, key=lambda i: (abs(free[i][0] - t), i), default=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        this, free, waiting, out = None, [], collections.deque(), []
+
+        def settle(now: int | None) -> None:
+            while waiting and (now is None or waiting[0][0] + within < now):
+                t, name = waiting.popleft()
+                del free[: bisect.bisect_left(free, (t - within,))]
+                if (i := nearest_free(free, t)) is not None:
+                    u, other = free.pop(i)
+                    out.append((*this, name, other, abs(u - t)))
+
+        schema = None
+        for batch in batches:
+            column = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731, B023
+            if schema is None:
+                types = [*[column(c).type for c in flow], column(key).type, column(key).type, column(at).type]
+                schema = pa.schema(list(zip([*flow, "a", "b", "distance"], types)))
+            for *who, t, what, name in zip(*[column(n).to_pylist() for n in [*flow, at, kind, key]]):
+                if who != this:
+                    settle(None)
+                    this, free = who, []
+                settle(t)
+                if what == one:
+                    waiting.append((t, name))
+                else:
+                    free.append((t, name))
+                    if not waiting:
+                        del free[: bisect.bisect_left(free, (t - within,))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out.clear()
+        settle(None)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    some = rows.filter(F.col(kind).isin(one, two)).select(*flow, at, kind, key)
+    return some.repartition(*flow).sortWithinPartitions(*flow, at, key).mapInArrow(run, fields)

@@ -201,30 +201,34 @@ def leaky_bucket(rows: DataFrame, flow: Keys, order: Keys, at: str, size: str, r
     """Fullness of a bucket that fills at ``rate`` per unit of ``at`` and loses ``size`` at each row.
 
     The bucket starts full, never exceeds ``capacity``, and an underflow leaves
-    it empty. Saturation makes the recurrence sequential: one fold per flow,
-    over its rows sorted in an array.
+    it empty. Saturation makes the recurrence sequential: one fold over the
+    sorted rows of each flow, whose state is the bucket.
     """
-    items = F.sort_array(F.collect_list(F.struct(*order, F.col(at).alias("_at"), F.col(size).alias("_size"))))
-    start = F.struct(
-        F.lit(capacity).cast("bigint").alias("full"),
-        F.lit(None).cast("bigint").alias("at"),
-        F.lit(0).cast("bigint").alias("underflows"),
-        F.lit(capacity).cast("bigint").alias("lowest"),
-    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in flow) + ", full bigint, underflows bigint, lowest bigint"
 
-    def step(state: Column, item: Column) -> Column:
-        waited = F.coalesce(item["_at"] - state["at"], F.lit(0))
-        filled = F.least(F.lit(capacity).cast("bigint"), state["full"] + waited * rate)
-        after = filled - item["_size"]
-        return F.struct(
-            F.greatest(after, F.lit(0).cast("bigint")).alias("full"),
-            item["_at"].alias("at"),
-            (state["underflows"] + (after < 0).cast("bigint")).alias("underflows"),
-            F.least(state["lowest"], F.greatest(after, F.lit(0).cast("bigint"))).alias("lowest"),
-        )
-
-    folded = rows.groupBy(*flow).agg(items.alias("_items")).withColumn("_state", F.aggregate("_items", start, step))
-    return folded.select(*flow, "_state.full", "_state.underflows", "_state.lowest")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        this, full, last, under, low, types = None, capacity, None, 0, capacity, None
+        out: list[tuple] = []
+        for batch in batches:
+            column = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731, B023
+            types = types or [*[column(c).type for c in flow], pa.int64(), pa.int64(), pa.int64()]
+            for *who, now, taken in zip(*[column(n).to_pylist() for n in [*flow, at, size]]):
+                if who != this:
+                    if this is not None:
+                        out.append((*this, full, under, low))
+                    this, full, last, under, low = who, capacity, now, 0, capacity
+                full = min(capacity, full + (now - last) * rate) - taken
+                under, full, last = under + (full < 0), max(full, 0), now
+                low = min(low, full)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*flow, "full", "underflows", "lowest"])
+                out = []
+        if this is not None:
+            out.append((*this, full, under, low))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*flow, "full", "underflows", "lowest"])
+
+    return rows.select(*flow, *order, F.col(at), F.col(size)).repartition(*flow).sortWithinPartitions(*flow, *order).mapInArrow(run, fields)
 
 
 def every_nth(rows: DataFrame, flow: Keys, order: Keys, points: int) -> DataFrame:

@@ -11,27 +11,50 @@ COMPACT = {"via": "v", "from": "f", "to": "t", "call-id": "i", "contact": "m", "
 START = rf"(?s)^(?:SIP/2\.0 \d{{3}}|(?:{'|'.join(METHODS)}) \S+ SIP/2\.0)"
 
 
-def header(text: Column, name: str) -> Column:
-    """The first value of a header, in its long or compact form; null if there is none."""
-    names = "|".join([name, *([COMPACT[name]] if name in COMPACT else [])])
-    value = F.trim(F.regexp_extract(text, rf"(?im)^(?:{names})[ \t]*:[ \t]*([^\r\n]*)", 1))
-    return F.when(value != "", value)
+def of_streams(framed: DataFrame) -> DataFrame:
+    """SIP messages cut out of TCP streams, in the form of segments."""
+    return framed.filter("kind = 'sip'").select(
+        "capture", "number", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", F.lit("sip").alias("proto"), F.col("data").alias("payload")
+    )
 
 
-def _tag(value: Column) -> Column:
-    tag = F.regexp_extract(value, r"(?i);\s*tag=([^;\s>]+)", 1)
-    return F.when(tag != "", tag)
+def parameter(value: Column, name: str) -> Column:
+    """A parameter of a header's value, without quotes; null if there is none."""
+    found = F.regexp_extract(value, rf"(?i);\s*{name}\s*=\s*\"?([^;,\s>\"]*)", 1)
+    return F.when(found != "", found)
 
 
 def messages(segments: DataFrame) -> DataFrame:
-    """SIP messages among datagrams: packet, time, endpoints, method or status, call, tags, branch, CSeq, SDP."""
+    """SIP messages among datagrams and messages of streams.
+
+    Columns: packet, time, endpoints, method or status, call, tags, branch,
+    CSeq, headers (all of them in order, continued lines joined, short names
+    long), body, what its description offers, and problem: the lengths given
+    differ, the body ends early, or a line is no header. A body ends where its
+    length says.
+    """
     text = F.decode("payload", "UTF-8")
-    found = segments.filter("proto = 'udp'").withColumn("text", text).filter(F.col("text").rlike(START))
-    head = F.substring_index("text", "\r\n\r\n", 1)
-    body = F.substring(F.col("text"), F.length(head) + 5, F.length("text"))
-    status = F.regexp_extract("text", r"^SIP/2\.0 (\d{3})", 1)
-    cseq = header(head, "cseq")
-    branch = F.regexp_extract(header(head, "via"), r"(?i);\s*branch=([^;,\s]+)", 1)
+    found = segments.filter("proto in ('udp', 'sip')").withColumn("text", text).filter(F.col("text").rlike(START))
+    head = F.regexp_replace(F.substring_index("text", "\r\n\r\n", 1), r"\r\n[ \t]+", " ")
+    rest = F.substring(F.col("text"), F.length(F.substring_index("text", "\r\n\r\n", 1)) + 5, F.length("text"))
+    lines = F.slice(F.split(head, "\r\n"), F.lit(2), F.greatest(F.size(F.split(head, "\r\n")) - 1, F.lit(0)))
+    long = F.create_map(*[F.lit(x) for name, short in COMPACT.items() for x in (short, name)])
+    key = lambda line: F.lower(F.trim(F.substring_index(line, ":", 1)))
+    headers = F.transform(
+        F.filter(lines, lambda x: F.instr(x, ":") > 1),
+        lambda x: F.struct(F.coalesce(F.try_element_at(long, key(x)), key(x)).alias("name"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")),
+    )
+    found = found.select("*", head.alias("head"), rest.alias("rest"), headers.alias("headers"), lines.alias("lines"))
+    lengths = F.array_distinct(F.transform(F.filter("headers", lambda h: h["name"] == "content-length"), lambda h: h["value"].try_cast("int")))
+    length = F.get(lengths, 0)
+    body = F.when(length.isNotNull(), F.decode(F.substring(F.encode("rest", "UTF-8"), F.lit(1), length), "UTF-8")).otherwise(F.col("rest"))
+    problem = (
+        F.when(F.size(lengths) > 1, "lengths_differ")
+        .when(F.octet_length("rest") < length, "body_ends_early")
+        .when(F.exists("lines", lambda x: (x != "") & (F.instr(x, ":") < 2)), "no_header")
+    )
+    status = F.regexp_extract("head", r"^SIP/2\.0 (\d{3})", 1)
+    value = lambda name: F.get(F.filter("headers", lambda h: h["name"] == name), 0)["value"]
     media = F.regexp_extract_all(body, F.lit(r"(?m)^m=(\w+) (\d+) \S+ ([\d ]+)"), F.lit(1))
     return found.select(
         "capture",
@@ -39,13 +62,16 @@ def messages(segments: DataFrame) -> DataFrame:
         "ts_us",
         F.concat_ws(":", "src_ip", "src_port").alias("source"),
         F.concat_ws(":", "dst_ip", "dst_port").alias("destination"),
-        F.regexp_extract(cseq, r"\d+\s+(\w+)", 1).alias("method"),
+        F.regexp_extract(value("cseq"), r"\d+\s+(\w+)", 1).alias("method"),
         F.when(status != "", status.cast("int")).alias("status"),
-        header(head, "call-id").alias("call_id"),
-        _tag(header(head, "from")).alias("from_tag"),
-        _tag(header(head, "to")).alias("to_tag"),
-        F.when(branch != "", branch).alias("branch"),
-        F.regexp_extract(cseq, r"^(\d+)", 1).try_cast("bigint").alias("cseq"),
+        value("call-id").alias("call_id"),
+        parameter(value("from"), "tag").alias("from_tag"),
+        parameter(value("to"), "tag").alias("to_tag"),
+        parameter(value("via"), "branch").alias("branch"),
+        F.regexp_extract(value("cseq"), r"^(\d+)", 1).try_cast("bigint").alias("cseq"),
+        "headers",
+        body.alias("body"),
+        problem.alias("problem"),
         F.size(media).alias("sdp_media"),
         F.when(body != "", F.regexp_extract(body, r"(?m)^c=IN IP[46] (\S+)", 1)).alias("sdp_address"),
         F.when(body.rlike(r"(?m)^m="), F.regexp_extract(body, r"(?m)^m=\w+ (\d+)", 1).try_cast("int")).alias("sdp_port"),
@@ -107,11 +133,29 @@ def findings(rows: DataFrame) -> DataFrame:
     return lacking.unionByName(fell)
 
 
-def media_flows(rows: DataFrame, rtp_statistics: DataFrame) -> DataFrame:
-    """Announced media endpoints with the RTP packets that reached them, and whether calls share an endpoint."""
-    offers = rows.filter("sdp_port is not null").select("capture", "call_id", "sdp_address", "sdp_port").distinct()
-    calls = F.count("call_id").over(Window.partitionBy("capture", "sdp_address", "sdp_port"))
-    shared = offers.withColumn("shared", calls > 1)
-    received = rtp_statistics.groupBy("capture", "dst_ip", "dst_port").agg(F.sum("packets").alias("packets"))
-    joined = shared.join(received.withColumnRenamed("capture", "_c"), F.expr("capture = _c and sdp_address = dst_ip and sdp_port = dst_port"), "left")
-    return joined.select("capture", "call_id", "sdp_address", "sdp_port", "shared", F.coalesce("packets", F.lit(0)).alias("packets"))
+def media_flows(offers: DataFrame, rtp: DataFrame, key: list[str]) -> DataFrame:
+    """Announced media (key, call_id, index, address, port, payload_types) with the RTP packets that reached them.
+
+    Packets count if their destination and payload type are those announced.
+    Columns: packets, first and last packet and time, ssrcs, quality: hold (an
+    address of zeros), no_address, candidate or none; shared: other calls
+    announce the endpoint too.
+    """
+    from tracewell.functions.text import unspecified
+
+    flows = rtp.groupBy("capture", "dst_ip", "dst_port", "pt").agg(
+        F.count(F.lit(1)).alias("n"), F.min("number").alias("a"), F.max("number").alias("b"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"),
+        F.collect_set("ssrc").alias("ssrcs"),
+    )
+    is_address = F.col("address").rlike(r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*)$")
+    place = ["capture", *key, "call_id", "index", "address", "port"]
+    exploded = offers.withColumn("pt", F.explode_outer("payload_types"))
+    usable = F.coalesce(is_address & ~unspecified(F.col("address")), F.lit(False))
+    target = exploded.withColumn("dst_ip", F.when(usable, F.col("address"))).withColumn("dst_port", F.col("port"))
+    joined = target.join(flows, ["capture", "dst_ip", "dst_port", "pt"], "left").groupBy(*place).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("packets"), F.min("a").alias("first_packet"), F.max("b").alias("last_packet"), F.min("t0").alias("first_us"),
+        F.max("t1").alias("last_us"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ssrcs")))).alias("ssrcs"),
+    )
+    calls = joined.groupBy("capture", "address", "port").agg((F.count_distinct("call_id") > 1).alias("shared"))
+    quality = F.when(~F.coalesce(is_address, F.lit(False)), "no_address").when(unspecified(F.col("address")), "hold").when(F.col("packets") > 0, "candidate").otherwise("none")
+    return joined.join(calls, ["capture", "address", "port"]).withColumn("quality", quality)

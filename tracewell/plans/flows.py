@@ -273,7 +273,19 @@ def q45(spark, sf_dir):
     )
 
 
-@query("q56_leaky_bucket")
+@query(
+    "q56_leaky_bucket",
+    """
+WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, epoch_us(ts) // 60000000 AS t, CAST(round(value * 100) AS BIGINT) AS size FROM events),
+b AS (
+  SELECT user_id, i, t, greatest(60000 - size, 0) AS "full", CASE WHEN size > 60000 THEN 1 ELSE 0 END AS underflows, greatest(60000 - size, 0) AS lowest FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.i, e.t, greatest(least(60000, b."full" + (e.t - b.t) * 20) - size, 0), underflows + CASE WHEN least(60000, b."full" + (e.t - b.t) * 20) < size THEN 1 ELSE 0 END,
+         least(lowest, greatest(least(60000, b."full" + (e.t - b.t) * 20) - size, 0))
+  FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+SELECT user_id, max_by("full", i) AS "full", max_by(underflows, i) AS underflows, max_by(lowest, i) AS lowest FROM b GROUP BY user_id
+""",
+)
 def q56(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("at", F.floor(F.col("us") / 60_000_000))
     return S.leaky_bucket(rows, ["user_id"], ["event_id"], "at", "size", 20, 60_000)

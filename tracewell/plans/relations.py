@@ -169,7 +169,23 @@ def q21(spark, sf_dir):
     return near.filter("event_type = 'error'").select("user_id", "event_id", "nearest", "distance")
 
 
-@query("q22_greedy_pairing")
+@query(
+    "q22_greedy_pairing",
+    """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_type, event_id FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM e WHERE event_type = 'purchase'),
+t AS (SELECT * FROM e WHERE event_type = 'click'),
+g AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS distance FROM o
+  UNION ALL
+  SELECT user_id, i, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END, a, b, distance
+  FROM (SELECT g.user_id, o.i, any_value(g.used) AS used, any_value(o.event_id) AS a, min_by(t.event_id, (abs(t.us - o.us), t.us, t.event_id)) AS b, min(abs(t.us - o.us)) AS distance
+        FROM g JOIN o ON o.user_id = g.user_id AND o.i = g.i + 1
+        LEFT JOIN t ON t.user_id = g.user_id AND abs(t.us - o.us) <= 7200000000 AND NOT list_contains(g.used, t.event_id)
+        GROUP BY g.user_id, o.i))
+SELECT user_id, a, b, distance FROM g WHERE b IS NOT NULL
+""",
+)
 def q22(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "us", "event_type", "event_id")
     return J.greedy_pairs(rows, ["user_id"], "us", "event_type", "purchase", "click", "event_id", 2 * HOUR)

@@ -45,7 +45,19 @@ def q48(spark, sf_dir):
     return frames(spark, sf_dir).select("vec_id", *audio.levels(F.col("pcm")))
 
 
-@query("q49_spectrum_rolloff")
+@query(
+    "q49_spectrum_rolloff",
+    """
+WITH f AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 32767) AS BIGINT)) AS p FROM embeddings),
+w AS (SELECT vec_id, list_transform(range(0, len(p)), lambda i: p[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / (len(p) - 1)))) AS x FROM f WHERE len(p) > 1),
+s AS (SELECT vec_id, k, len(x) AS n, pow(list_sum(list_transform(range(0, len(x)), lambda i: x[i + 1] * cos(2 * pi() * k * i / len(x)))), 2)
+        + pow(list_sum(list_transform(range(0, len(x)), lambda i: x[i + 1] * sin(2 * pi() * k * i / len(x)))), 2) AS e FROM w, range(0, 33) r(k)),
+c AS (SELECT *, sum(e) OVER (PARTITION BY vec_id ORDER BY k) AS below, sum(e) OVER (PARTITION BY vec_id) AS total FROM s)
+SELECT vec_id, max_by(k, e) * 8000 // any_value(n) AS peak_hz, min(k) FILTER (below >= 0.85 * total) * 8000 // any_value(n) AS rolloff_hz,
+       CAST(floor(sum(k * 8000.0 / n * e) / any_value(total)) AS BIGINT) AS centroid_hz
+FROM c GROUP BY vec_id
+""",
+)
 def q49(spark, sf_dir):
     return audio.spectrum(frames(spark, sf_dir), "vec_id", 8000)
 
