@@ -102,16 +102,19 @@ def segments(frames: DataFrame) -> DataFrame:
 def interleaved_payloads(messages: DataFrame) -> DataFrame:
     """The ``$`` frames of TCP streams in the form of segments, with their connection and channel."""
     return messages.filter("kind = 'interleaved'").select(
-        "capture", "interface", "number", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "connection", "channel",
+        "capture", "interface", "number", "message", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "connection", "channel",
         F.lit("interleaved").alias("proto"), F.col("data").alias("payload"),
     )
 
 
 def rtp_packets(some: DataFrame) -> DataFrame:
-    """RTP packets among datagrams and ``$`` frames: version 2, complete header, payload types below 64 or from 96 on."""
+    """RTP packets among datagrams and ``$`` frames: version 2, complete header, payload types below 64 or from 96 on.
+
+    message tells the frames of one segment apart.
+    """
     p = F.col("payload")
     first, second = uint(p, 0, 1), uint(p, 1, 1)
-    for name, default in (("connection", 0), ("channel", -1)):
+    for name, default in (("connection", 0), ("channel", -1), ("message", 0)):
         some = some.withColumn(name, F.coalesce(name, F.lit(default)) if name in some.columns else F.lit(default))
     parsed = some.filter("proto in ('udp', 'interleaved')").filter(
         (F.octet_length(p) >= 12) & (F.shiftright(first, 6) == 2) & ~(second % 128).between(64, 95)
@@ -124,6 +127,7 @@ def rtp_packets(some: DataFrame) -> DataFrame:
     return parsed.filter(size >= 0).select(
         "capture",
         "number",
+        "message",
         "ts_us",
         *FLOW[1:-1],
         (F.shiftright(second, 7) == 1).alias("marker"),
@@ -142,7 +146,7 @@ def rtp_statistics(rtp: DataFrame, clock: int = 90_000, flow: list[str] = FLOW)
     The clock of a packet is its column ``clock`` if there is one (from a
     session description), else that of its static payload type, else ``clock``.
     """
-    order = ["number"]
+    order = ["number", *(["message"] if "message" in rtp.columns else [])]
     known = static_value(F.col("pt"), "clock_rate")
     rate_of = F.coalesce(*([F.col("clock")] if "clock" in rtp.columns else []), known, F.lit(clock))
     rows = S.unwrap(rtp.withColumn("_clock", rate_of), flow, order, "seq", 1 << 16)

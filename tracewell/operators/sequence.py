@@ -38,7 +38,7 @@ def tumbling_peak(rows: DataFrame, flow: Keys, at: str, size: str, width: int) -
 
 
 def unwrap(rows: DataFrame, flow: Keys, order: Keys, seq: str, modulus: int, name: str = "ext") -> DataFrame:
-    """Unfold a wrapping counter: a running sum of signed steps from the first value."""
+    """Unfold a wrapping counter: a running sum of signed steps from the first value. ``order`` has no ties."""
     w = _window(flow, order)
     step = F.coalesce(signed_wrap(F.col(seq) - F.lag(seq).over(w), modulus), F.col(seq))
     return rows.withColumn("_step", step.cast("bigint")).withColumn(name, F.sum("_step").over(w)).drop("_step")

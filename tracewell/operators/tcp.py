@@ -7,6 +7,7 @@ fold over a direction's pieces, whose state is the unfinished message.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -180,19 +181,19 @@ class SipFraming(Interleaved):
 
 
 def messages(chunks: DataFrame, framing: type[Interleaved] = Interleaved) -> DataFrame:
-    """Messages of reassembled streams: the stream, number and ts_us of the first byte, kind, channel, data, skipped.
+    """Messages of reassembled streams: the stream, message (from 1), number and ts_us of the first byte, kind, channel, data, skipped.
 
     kind: rtsp, interleaved, rtsp_cut (a header that the stream's end cuts) or
     sip. skipped counts the bytes before the message that belong to none.
     """
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
     fields = ", ".join(f"{n} {kinds[n]}" for n in STREAM)
-    fields += ", number bigint, ts_us bigint, kind string, channel int, data binary, skipped bigint"
+    fields += ", message bigint, number bigint, ts_us bigint, kind string, channel int, data binary, skipped bigint"
     names = [part.split()[0] for part in fields.split(", ")]
-    tail = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64()]
+    tail = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, open_one, schema = None, framing(), None
+        stream, open_one, schema, count = None, framing(), None, itertools.count(1)
         for batch in batches:
             schema = schema or pa.schema([*[batch.schema.field(n) for n in STREAM], *map(pa.field, names[len(STREAM) :], tail)])
             keys = list(zip(*[batch.column(n).to_pylist() for n in STREAM]))
@@ -200,12 +201,12 @@ def messages(chunks: DataFrame, framing: type[Interleaved] = Interleaved) -> Dat
             rows = []
             for key, (data, gap, number, ts_us) in zip(keys, values):
                 if key != stream:
-                    rows += [(*stream, *m) for m in open_one.finish()] if stream else []
-                    stream, open_one = key, framing()
-                rows += [(*key, *m) for m in open_one.push(data, gap > 0, (number, ts_us))]
+                    rows += [(*stream, next(count), *m) for m in open_one.finish()] if stream else []
+                    stream, open_one, count = key, framing(), itertools.count(1)
+                rows += [(*key, next(count), *m) for m in open_one.push(data, gap > 0, (number, ts_us))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-        if stream and (rows := [(*stream, *m) for m in open_one.finish()]):
+        if stream and (rows := [(*stream, next(count), *m) for m in open_one.finish()]):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     ordered = chunks.select(*STREAM, "pos", "number", "ts_us", "data", "gap").repartition(*STREAM).sortWithinPartitions(*STREAM, "pos")
