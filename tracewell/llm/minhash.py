@@ -309,7 +309,7 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).filter("size > 1")
     members = cut(members.join(sizes, "band"))
     # A text from which others were made stands in the largest bands of its copies.
-    weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    weights = cut(members.groupBy("id").agg(F.sum("size").alias("weight")))
     centres = (
         members.join(weights, "id")
         .groupBy("band")
@@ -317,7 +317,7 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
         .select("band", (-F.col("centre.minus")).alias("centre"))
     )
     signed = classes.select("id", "signature")
-    wanted = members.select("id").distinct().join(classes.select("id", "least.*"), "id")
+    wanted = weights.select("id").join(classes.select("id", "least.*"), "id")
     sets = cut(
         shingle_sets(
             documents.select("doc_id", text_key(), "text").join(wanted, ["doc_id", "text_key"]), width
@@ -358,12 +358,13 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    linked = cut(classes.select("id", F.col("least.doc_id").alias("doc_id")).join(found, "id"))
-    lowest = linked.groupBy("component_id").agg(F.min("doc_id").alias("low"))
-    low = linked.join(lowest, "component_id").select("id", F.col("component_id").alias("linked"), "low")
-    of_class = classes.join(low, "id", "left").select(
-        "set_a", "set_b", F.coalesce("linked", "id").alias("group_id"), F.coalesce("low", "least.doc_id").alias("component_id")
+    grouped = cut(
+        classes.select("id", "set_a", "set_b", "least.doc_id")
+        .join(found, "id", "left")
+        .select("set_a", "set_b", "doc_id", F.coalesce("component_id", "id").alias("group_id"))
     )
+    lowest = grouped.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    of_class = grouped.drop("doc_id").join(lowest, "group_id")
     judged = features.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     has_id = F.col("doc_id").isNotNull()
     return judged.select(
