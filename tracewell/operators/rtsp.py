@@ -198,3 +198,17 @@ def codec_of(rtp: DataFrame, agreed: DataFrame) -> DataFrame:
     return joined.withColumn("codec", F.coalesce("codec", sdp.static_value(F.col("pt"), "codec"))).withColumn(
         "clock", F.coalesce("clock", sdp.static_value(F.col("pt"), "clock_rate"))
     )
+
+
+def merged_sessions(found: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Sessions of one capture as one: flags of any, the first server and base, all methods in the order they came, all session names.
+
+    several: the capture holds more than one session.
+    """
+    sorted_rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce("public_methods", F.array().cast("array<string>")).alias("m"))))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    return found.groupBy(*key).agg(
+        F.bool_or("connected").alias("connected"), F.bool_or("authenticated").alias("authenticated"), first("server"), first("content_base"),
+        F.array_distinct(F.flatten(F.transform(sorted_rows, lambda r: r["m"]))).alias("public_methods"),
+        F.array_sort(F.collect_set("session")).alias("sessions"), (F.count_distinct("session") > 1).alias("several"),
+    )

@@ -13,6 +13,7 @@ from tracewell.operators.packets import FLOW, uint
 #: Fixed values of the payload formats: aggregation and fragmentation unit types.
 H264_STAP_A, H264_FU_A = 24, 28
 H265_AP, H265_FU = 48, 49
+H265_SETS, H265_RANDOM_ACCESS = {"vps": 32, "sps": 33, "pps": 34}, (16, 23)
 H264_SLICE, H264_IDR, H264_SEI, H264_SPS, H264_PPS = 1, 5, 6, 7, 8
 LARGEST_FRAGMENTED = 8 << 20
 
@@ -133,20 +134,25 @@ def depacketise(rtp: DataFrame, codec: str = "h264") -> DataFrame:
     return ordered.mapInArrow(run, fields)
 
 
-def access_units(units: DataFrame, flow: list[str]) -> DataFrame:
-    """Frames of H.264 units: those of one RTP time, in order of their first packet.
+def access_units(units: DataFrame, flow: list[str], codec: str = "h264") -> DataFrame:
+    """Frames of H.264 or H.265 units: those of one RTP time, in order of their first packet.
 
-    Columns: flow, frame (from 1), rtp_ts, units, bytes, idr, complete,
-    has_marker, missing_marker (the next frame began without one; never the last).
+    Columns: flow, frame (from 1), rtp_ts, first_seq, units, bytes, idr (any
+    random access picture of H.265), vps, sps, pps, complete, has_marker,
+    missing_marker (the next frame began without one; never the last).
     """
-    kind = h264_type(F.col("data"))
+    if codec == "h264":
+        kind = h264_type(F.col("data"))
+        idr, sets = kind == H264_IDR, {"vps": F.lit(False), "sps": kind == H264_SPS, "pps": kind == H264_PPS}
+    else:
+        kind = h265_type(F.col("data"))
+        idr, sets = kind.between(*H265_RANDOM_ACCESS), {name: kind == number for name, number in H265_SETS.items()}
     frames = units.groupBy(*flow, "rtp_ts").agg(
         F.min("first_seq").alias("first_seq"),
         F.count(F.lit(1)).alias("units"),
         F.sum(F.octet_length("data")).alias("bytes"),
-        F.bool_or(kind == H264_IDR).alias("idr"),
-        F.bool_or(kind == H264_SPS).alias("sps"),
-        F.bool_or(kind == H264_PPS).alias("pps"),
+        F.bool_or(idr).alias("idr"),
+        *[F.bool_or(test).alias(name) for name, test in sets.items()],
         F.every("complete").alias("complete"),
         F.bool_or("marker").alias("has_marker"),
     )
@@ -165,12 +171,14 @@ def gop_statistics(frames: DataFrame, flow: list[str]) -> DataFrame:
     marked = frames.withColumn("_gap", F.when(F.col("idr"), F.col("frame") - before)).withColumn(
         "_sps", F.max("sps").over(w.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("_pps", F.max("pps").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_vps", F.max("vps").over(w.rowsBetween(Window.unboundedPreceding, 0)) if "vps" in frames.columns else F.lit(False))
     return marked.groupBy(*flow).agg(
         F.count(F.lit(1)).alias("frames"),
         F.count_if("idr").alias("idr_frames"),
         F.min(keys).alias("first_idr_frame"),
         F.expr("sum(_gap) div count(_gap)").alias("average_gop_frames"),
         F.max("_gap").alias("maximum_gop_frames"),
+        F.min_by("_vps", F.when(F.col("idr"), F.col("frame"))).alias("vps_before_idr"),
         F.min_by("_sps", F.when(F.col("idr"), F.col("frame"))).alias("sps_before_idr"),
         F.min_by("_pps", F.when(F.col("idr"), F.col("frame"))).alias("pps_before_idr"),
         F.count_if(~F.col("complete")).alias("incomplete_frames"),
@@ -178,5 +186,22 @@ def gop_statistics(frames: DataFrame, flow: list[str]) -> DataFrame:
     )
 
 
-def unit_histogram(units: DataFrame, flow: list[str]) -> DataFrame:
-    return units.groupBy(*flow, h264_type(F.col("data")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+def unit_histogram(units: DataFrame, flow: list[str], codec: str = "h264") -> DataFrame:
+    kind = h264_type(F.col("data")) if codec == "h264" else h265_type(F.col("data"))
+    return units.groupBy(*flow, kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_ranges(frames: DataFrame, flow: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """Byte ranges of frames with those that overlap or touch the one before merged: flow, start, end, frames."""
+    w = Window.partitionBy(*flow).orderBy(start, end)
+    reached = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = frames.withColumn("_new", (reached.isNull() | (F.col(start) > reached)).cast("int"))
+    rows = rows.withColumn("_range", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*flow, "_range").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("frames")).drop("_range")
+
+
+def frame_documents(inspected: DataFrame, flow: list[str], frame: str, order: str) -> DataFrame:
+    """One JSON document per frame with its units in order, from rows of ``parameter_sets.inspected``."""
+    fields = [c for c in inspected.columns if c not in (*flow, frame, order)]
+    units = F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("unit")))), lambda x: x["unit"])
+    return inspected.groupBy(*flow, frame).agg(units.alias("units")).select(*flow, frame, F.to_json(F.struct(F.col(frame).alias("frame"), "units")).alias("document"))

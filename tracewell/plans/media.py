@@ -434,3 +434,111 @@ def q101(spark, sf_dir):
     return found.select("user_id", "event_id", "begins", "ends")
 
 
+
+
+@query(
+    "q128_h265_frames",
+    """
+WITH p AS (SELECT p_partkey AS k, p_partkey // 10 AS g, p_partkey % 10 AS i FROM part)
+SELECT g, i + 1 AS frame, k AS rtp_ts, CASE WHEN i % 4 = 1 THEN 4 ELSE 1 END AS units, i % 4 = 1 AS idr, i % 4 = 1 AS sps, i % 3 <> 0 AS has_marker, i % 3 = 0 AND i < 9 AND k < (SELECT max(p_partkey) FROM part) AS missing_marker
+FROM p
+""",
+)
+def q128(spark, sf_dir):
+    """Tens of parts as flows of frames: every fourth begins with its parameter sets, every third lacks its marker."""
+    units = _h265_frames(spark, sf_dir)
+    return video.access_units(units, ["g"], "h265").select("g", "frame", "rtp_ts", "units", "idr", "sps", "has_marker", "missing_marker")
+
+
+def _h265_frames(spark, sf_dir):
+    k, i = F.col("p_partkey"), F.col("p_partkey") % 10
+    kinds = F.when(i % 4 == 1, F.array(*map(F.lit, (32, 33, 34, 19)))).otherwise(F.array(F.lit(1)))
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 10).alias("g"), k.alias("rtp_ts"), i.alias("i"), F.posexplode(kinds).alias("u", "kind"))
+    seq = F.col("rtp_ts") * 10 + F.col("u")
+    return rows.select(
+        "g", "rtp_ts", seq.alias("first_seq"), seq.alias("last_seq"), F.lit(True).alias("complete"), ((F.col("i") % 3 != 0) & (F.col("kind").isin(1, 19))).alias("marker"),
+        F.lit(None).cast("string").alias("issue"), F.concat(bytes_of(F.col("kind") * 2, 1), F.lit(bytearray(b"\x01\x80"))).alias("data"),
+    )
+
+
+@query(
+    "q129_h265_gops",
+    """
+WITH p AS (SELECT p_partkey // 10 AS g, p_partkey % 10 AS i FROM part), f AS (SELECT g, count(*) AS frames, count(*) FILTER (i % 4 = 1) AS idr_frames, min(i) FILTER (i % 4 = 1) + 1 AS first_idr_frame FROM p GROUP BY g)
+SELECT g, frames, idr_frames, first_idr_frame, CASE WHEN idr_frames > 1 THEN 4 END AS average_gop_frames, CASE WHEN idr_frames > 1 THEN 4 END AS maximum_gop_frames,
+       CASE WHEN idr_frames > 0 THEN TRUE END AS vps_before_idr, frames + 3 * idr_frames AS units FROM f
+""",
+)
+def q129(spark, sf_dir):
+    units = _h265_frames(spark, sf_dir)
+    gops = video.gop_statistics(video.access_units(units, ["g"], "h265"), ["g"])
+    counts = video.unit_histogram(units, ["g"], "h265").groupBy("g").agg(F.sum("n").alias("units"))
+    names = ["frames", "idr_frames", "first_idr_frame", "average_gop_frames", "maximum_gop_frames", "vps_before_idr", "units"]
+    return gops.join(counts, "g").select("g", *names)
+
+
+@query(
+    "q130_frame_documents",
+    """
+SELECT p_partkey AS part, '{"frame":' || p_partkey || ',"units":[{"type":7,"name":"sps","ref_idc":3},{"type":8,"name":"pps","ref_idc":3},{"type":5,"name":"idr_slice","ref_idc":3},{"type":6,"name":"sei","ref_idc":0}]}' AS document FROM part
+""",
+)
+def q130(spark, sf_dir):
+    shown = parameter_sets.inspected(_h264_units(spark, sf_dir), ["part", "i"], "h264").select("part", "i", "type", "name", "ref_idc")
+    return video.frame_documents(shown, [], "part", "i")
+
+
+@query(
+    "q131_merged_ranges",
+    """
+WITH l AS (SELECT l_suppkey AS flow, epoch_us(l_shipdate) // 86400000000 AS s, epoch_us(l_shipdate) // 86400000000 + l_linenumber AS e FROM lineitem),
+n AS (SELECT *, max(e) OVER (PARTITION BY flow ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM l),
+g AS (SELECT *, sum(CASE WHEN reached IS NULL OR s > reached THEN 1 ELSE 0 END) OVER (PARTITION BY flow ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS r FROM n)
+SELECT flow, min(s) AS start, max(e) AS "end", count(*) AS frames FROM g GROUP BY flow, r
+""",
+)
+def q131(spark, sf_dir):
+    day = F.floor(micros("l_shipdate") / 86_400_000_000)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("flow"), day.alias("start"), (day + F.col("l_linenumber")).alias("end"))
+    return video.merged_ranges(rows, ["flow"])
+
+
+@query(
+    "q132_channel_quality",
+    """
+WITH s AS (SELECT vec_id, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 30000) AS BIGINT) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+v AS (SELECT vec_id, i % 2 + 1 AS channel, x, (x >= 0) <> (lag(x) OVER (PARTITION BY vec_id, i % 2 ORDER BY i) >= 0) AS crossed FROM s),
+a AS (SELECT vec_id, channel, max(abs(x)) AS p, sqrt(sum(x * x) / count(*)) AS r, count(*) FILTER (abs(x) <= 328) * 1000000 // count(*) AS silent_ppm, count(*) FILTER (abs(x) >= 32600) * 1000000 // count(*) AS clipped_ppm,
+             count(*) FILTER (crossed) * 1000000 // (count(*) - 1) AS crossings_ppm FROM v GROUP BY 1, 2)
+SELECT vec_id, channel, CASE WHEN p > 0 THEN CAST(round(20000 * log10(p / 32768)) AS BIGINT) END AS peak_dbfs_milli, CASE WHEN r > 0 THEN CAST(round(20000 * log10(r / 32768)) AS BIGINT) END AS rms_dbfs_milli,
+       CASE WHEN r > 0 THEN CAST(round(20000 * log10(p / r)) AS BIGINT) END AS crest_milli, silent_ppm, clipped_ppm, crossings_ppm FROM a
+""",
+)
+def q132(spark, sf_dir):
+    return audio.channel_quality(_tracks(spark, sf_dir), "vec_id")
+
+
+@query(
+    "q133_dynamic_range",
+    """
+WITH s AS (SELECT vec_id % 20 AS g, vec_id, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 30000) AS BIGINT) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+w AS (SELECT g, vec_id, i // 2 // 16 AS w, i % 2 AS c, CAST(round(20000 * log10(sqrt(sum(x * x) / count(*)) / 32768)) AS BIGINT) AS l FROM s GROUP BY ALL),
+l AS (SELECT g, list_sort(list(l)) AS l FROM w WHERE l >= -60000 GROUP BY g)
+SELECT g, CASE WHEN len(l) >= 10 THEN l[len(l) * 95 // 100 + 1] - l[len(l) // 10 + 1] END AS dynamic_range_milli FROM l
+""",
+)
+def q133(spark, sf_dir):
+    series = audio.level_series(_tracks(spark, sf_dir), "vec_id").withColumn("g", F.col("vec_id") % 20)
+    return audio.dynamic_range(series, "g")
+
+
+@query(
+    "q134_even_positions",
+    """
+WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT o_custkey, n, array_to_string(CASE WHEN n >= 3 THEN [0, (n - 1) // 2, n - 1] ELSE list_transform(range(0, n), lambda i: CASE WHEN n > 1 THEN i * (n - 1) // (n - 1) ELSE 0 END) END, ',') AS positions FROM c
+""",
+)
+def q134(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("o_custkey", "n", F.array_join(audio.evenly(F.least("n", F.lit(3)).cast("int"), F.col("n") - 1), ",").alias("positions"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import logs, packets, rtcp, sip, soap
+from tracewell.operators import logs, packets, rtcp, rtsp, sip, soap
 from tracewell.queries import query, table
+from tracewell.rules import engine
 
 
 @query(
@@ -150,3 +151,48 @@ def q127(spark, sf_dir):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query(
+    "q135_challenges_and_sessions",
+    """
+SELECT c_custkey AS cust, c_custkey % 3 <> 0 AS accepted_later, 'cam-' || (c_custkey % 5) AS server, 'OPTIONS,PLAY,PAUSE' AS methods, 's1,s2' AS sessions, TRUE AS several FROM customer
+""",
+)
+def q135(spark, sf_dir):
+    """Customers as captures with two connections: a challenge that is answered or not, and a second session."""
+    k = F.col("c_custkey")
+    base = table(spark, sf_dir, "customer").select("c_custkey", F.lit("0").alias("interface"), F.lit("a b").alias("ends"))
+    tries = F.array(*[
+        F.struct(F.lit(n).cast("bigint").alias("request_packet"), F.lit(m).alias("method"), status.alias("status"))
+        for n, m, status in ((1, "DESCRIBE", F.lit(401)), (2, "PLAY", F.lit(200)), (3, "DESCRIBE", F.when(k % 3 == 0, 403).otherwise(200)))
+    ])
+    found = rtsp.retried(base.withColumn("capture", F.col("c_custkey")).withColumn("connection", F.lit(1)).select("*", F.inline(tries)))
+    first = found.filter("status = 401").select(F.col("c_custkey").alias("cust"), "accepted_later")
+    each = F.array(*[
+        F.struct(
+            F.lit(i).alias("first_packet"), F.lit(i == 1).alias("connected"), F.lit(False).alias("authenticated"),
+            F.when(F.lit(i == 1), F.concat(F.lit("cam-"), k % 5)).otherwise("late").alias("server"), F.lit(None).cast("string").alias("content_base"),
+            F.array(*map(F.lit, methods)).alias("public_methods"), F.lit(f"s{i}").alias("session"),
+        )
+        for i, methods in ((1, ("OPTIONS", "PLAY")), (2, ("PLAY", "PAUSE")))
+    ])
+    merged = rtsp.merged_sessions(base.select(F.col("c_custkey").alias("cust"), F.inline(each)), ["cust"], "first_packet")
+    return first.join(merged, "cust").select(
+        "cust", "accepted_later", "server", F.array_join("public_methods", ",").alias("methods"), F.array_join("sessions", ",").alias("sessions"), "several"
+    )
+
+
+@query(
+    "q136_concatenated_events",
+    """
+SELECT 0 AS feed, o_orderkey AS key, o_orderstatus AS kind, NULL AS rule_id FROM orders UNION ALL SELECT 1, event_id, event_type, NULL FROM events
+UNION ALL SELECT 2, s_suppkey, NULL, CASE WHEN s_suppkey % 2 = 0 THEN 'RTP-015' ELSE 'RTSP-001' END FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0
+""",
+)
+def q136(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("kind"))
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("event_type").alias("kind"))
+    k = F.col("s_suppkey")
+    found = table(spark, sf_dir, "supplier").select(k.alias("key"), F.when(k % 2 == 0, "RTP-015").otherwise("RTSP-001").alias("rule_id"))
+    return engine.concatenated(orders, events, engine.of_source(found, F.col("key") % 3 == 0)).select("feed", "key", "kind", "rule_id")

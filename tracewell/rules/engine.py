@@ -48,3 +48,17 @@ def findings(facts: DataFrame, rules: list[Rule], key: list[str], sufficient: Co
 
     fired = F.array_compact(F.array(*[F.when(F.expr(r.test), row(i, r)) for i, r in enumerate(rules)]))
     return facts.select(*key, F.inline(fired))
+
+
+def of_source(found: DataFrame, live: Column) -> DataFrame:
+    """Findings without those on a control connection where the source isn't live."""
+    return found.filter(live | ~F.col("rule_id").startswith("RTSP-"))
+
+
+def concatenated(*feeds: DataFrame) -> DataFrame:
+    """The events of a run followed by those of its streams, numbered through by feed and place."""
+    out = None
+    for i, feed in enumerate(feeds):
+        rows = feed.withColumn("feed", F.lit(i))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out

@@ -14,8 +14,8 @@ START_CODE = bytearray(b"\x00\x00\x00\x01")
 
 
 def little(value: Column, size: int) -> Column:
-    """A number as ``size`` little-endian bytes; negative ones as two's complement."""
-    digits = F.lpad(F.hex(F.pmod(value.cast("decimal(20,0)"), F.lit(1 << 8 * size).cast("decimal(21,0)")).cast("decimal(20,0)").cast("bigint")), 2 * size, "0")
+    """A number as ``size`` little-endian bytes, 8 at most; negative ones as two's complement."""
+    digits = F.substring(F.lpad(F.hex(value.cast("bigint")), 16, "0"), 17 - 2 * size, 2 * size)
     return F.unhex(F.array_join(F.transform(F.sequence(F.lit(size - 1), F.lit(0)), lambda i: F.substring(digits, i * 2 + 1, F.lit(2))), ""))
 
 
@@ -71,12 +71,11 @@ def opus_file(packets: DataFrame, key: list[str], order: str, samples: str, chan
     pages = rows.select(
         *key, number.alias("_page"), ogg_page(serial, number, F.when(last, 4).otherwise(0), F.sum(samples).over(w), F.col("body")).alias("_data")
     )
-    head, tags = opus_headers(channels)
     first = rows.groupBy(*key).agg(F.max(channels).alias("_channels"), F.max(serial).alias("_serial"))
     intro = first.select(
         *key, F.inline(F.array(*[
             F.struct(F.lit(i).alias("_page"), ogg_page(F.col("_serial"), F.lit(i), F.lit(kind), F.lit(0), packet).alias("_data"))
-            for i, (kind, packet) in enumerate(((2, opus_headers(F.col("_channels"))[0]), (0, tags)))
+            for i, (kind, packet) in enumerate(zip((2, 0), opus_headers(F.col("_channels"))))
         ])),
     )
     return joined(intro.unionByName(pages), key, "_page", F.col("_data"))

@@ -53,22 +53,30 @@ def _options(body: bytes, order: str) -> dict[int, bytes]:
     return out
 
 
-def _pcapng(content: bytes) -> Iterator[tuple]:
-    at, number, order, section, interfaces = 0, 0, "<", -1, []
+def _blocks(content: bytes) -> Iterator[tuple[int, bytes, str]]:
+    """(kind, body, byte order) of the blocks of a pcapng file."""
+    at, order = 0, "<"
     while at < len(content):
         if at + 12 > len(content):
             raise ValueError("short block")
         if content[at : at + 4] == PCAPNG_MAGIC:
             order = "<" if content[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
-            interfaces, section = [], section + 1
         kind, size = struct.unpack(order + "2I", content[at : at + 8])
         if size < 12 or size % 4 or at + size > len(content):
             raise ValueError("block ends after the file")
-        body = content[at + 8 : at + size - 4]
         if struct.unpack(order + "I", content[at + size - 4 : at + size])[0] != size:
             raise ValueError("block lengths differ")
+        yield kind, content[at + 8 : at + size - 4], order
         at += size
-        if kind == INTERFACE:
+
+
+def read_pcapng_blocks(blocks: Iterator[tuple[int, bytes, str]]) -> Iterator[tuple]:
+    """(ts_us, interface, link_type, truncated, data) of the packets in blocks."""
+    section, interfaces = -1, []
+    for kind, body, order in blocks:
+        if kind == SECTION:
+            interfaces, section = [], section + 1
+        elif kind == INTERFACE:
             options = _options(body[8:], order)
             unit = options.get(9, b"\x06")[0]
             ticks = 2 ** (unit & 0x7F) if unit & 0x80 else 10**unit
@@ -84,9 +92,13 @@ def _pcapng(content: bytes) -> Iterator[tuple]:
             if index >= len(interfaces) or kept > LONGEST_FRAME or 20 + kept > len(body):
                 raise ValueError("packet of no interface or beyond its block")
             link, ticks, offset = interfaces[index]
-            number += 1
             us = (high << 32 | low) * 1_000_000 // ticks + offset * 1_000_000
-            yield number, us, f"{section}:{index}", link, kept < full, body[20 : 20 + kept]
+            yield us, f"{section}:{index}", link, kept < full, body[20 : 20 + kept]
+
+
+def _pcapng(content: bytes) -> Iterator[tuple]:
+    for number, row in enumerate(read_pcapng_blocks(_blocks(content)), 1):
+        yield number, *row
 
 
 def parse_capture(content: bytes) -> Iterator[tuple]:
@@ -127,7 +139,7 @@ def frames_of(files: DataFrame) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of all captures below ``path``."""
+    """Frames of all captures below ``path``; for small files, which Spark reads whole. See ``stream.stream_frames``."""
     return frames_of(spark.read.format("binaryFile").load(path))
 
 
@@ -181,13 +193,3 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, channels int, rate int, pcm array<smallint>, error string")
-
-
-def quality(frames: DataFrame) -> DataFrame:
-    """One row per capture: frames, truncated frames, duration and the error that ended it."""
-    return frames.groupBy("capture").agg(
-        F.count("number").alias("frames"),
-        F.count_if("truncated").alias("truncated"),
-        ((F.max("ts_us") - F.min("ts_us")) / 1000).cast("bigint").alias("duration_ms"),
-        F.max("error").alias("error"),
-    )
