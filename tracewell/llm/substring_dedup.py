@@ -28,7 +28,7 @@ from tracewell.llm.word_hashes import chunks, powers, scramble, word_hashes
 
 WINDOW, PREFIX = 50, 8
 #: Windows in a segment, distinct segments in a group, and segments of a batch that are sorted at once.
-SEGMENT, GROUP, SORTED = 64, 2000, 2000
+SEGMENT, GROUP, SORTED = 64, 500, 500
 
 _BASES = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 _INVERSES = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
@@ -144,7 +144,7 @@ def repeats_in_groups(
     paths = np.empty((len(segment), window + 1), np.int64)
     paths[:, 0] = group[segment]
     paths[:, 1:] = np.lib.stride_tricks.sliding_window_view(words, window)[offsets[:-1][segment] + position]
-    labels = np.ascontiguousarray(paths).view(np.dtype((np.void, paths.shape[1] * 8))).reshape(-1)
+    labels = paths.view(np.dtype((np.void, paths.shape[1] * 8))).reshape(-1)
     order = np.argsort(labels)
     paths = paths[order]
     node = np.ones(len(order), bool)
