@@ -240,12 +240,3 @@ def every_nth(rows: DataFrame, flow: Keys, order: Keys, points: int) -> DataFram
         "_n", F.count(F.lit(1)).over(Window.partitionBy(*flow))
     )
     return counted.filter((F.col("_rn") - 1) % F.ceil(F.col("_n") / points) == 0).drop("_rn", "_n")
-
-
-def index_percentile(rows: DataFrame, group: Keys, value: str, per_cent: list[int]) -> DataFrame:
-    """Values at index n * p div 100 of each group in order, without interpolation."""
-    counted = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(value)) - 1).withColumn(
-        "_n", F.count(F.lit(1)).over(Window.partitionBy(*group))
-    )
-    at = lambda p: F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)
-    return counted.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == at(p), F.col(value))).alias(f"p{p}") for p in per_cent])

@@ -25,7 +25,7 @@ WHERE contains(lower(concat_ws(' ', c_name, n_name, c_mktsegment)), 'nation_1')
 """,
 )
 def q13(spark, sf_dir):
-    nation = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows at any scale
+    nation = table(spark, sf_dir, "nation")
     joined = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     text = F.lower(F.concat_ws(" ", "c_name", "n_name", "c_mktsegment"))
     return joined.filter(text.contains("nation_1") & text.contains("build")).select("c_custkey", "c_name", "n_name")
@@ -256,11 +256,11 @@ FROM region, s WHERE length(r_name) <= length(s.c_mktsegment)
 )
 def q26(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    nation = F.broadcast(table(spark, sf_dir, "nation"))
+    nation = table(spark, sf_dir, "nation")
     counts = customers.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "c_mktsegment").agg(
         F.count(F.lit(1)).alias("n")
     )
-    # Both sides are vocabularies: five regions, five segments.
+    # Both sides are vocabularies: five regions at any scale, five segments. Without an equality one side has to be sent to all.
     pairs = F.broadcast(table(spark, sf_dir, "region")).join(
         customers.select("c_mktsegment").distinct(), F.length("r_name") <= F.length("c_mktsegment")
     )
@@ -522,7 +522,7 @@ SELECT n_regionkey, c_nationkey, 'host-' || lpad(CAST(row_number() OVER (PARTITI
 """,
 )
 def q54(spark, sf_dir):
-    nation = F.broadcast(table(spark, sf_dir, "nation"))
+    nation = table(spark, sf_dir, "nation")
     rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return R.aliases(rows, "c_nationkey", "c_custkey", ["n_regionkey"], "host-")
 
