@@ -28,7 +28,7 @@ from tracewell.llm.word_hashes import chunks, powers, scramble, word_hashes
 
 WINDOW, PREFIX = 50, 8
 #: Windows in a segment, distinct segments in a group, and segments of a batch that are sorted at once.
-SEGMENT, GROUP, SORTED = 64, 500, 500
+SEGMENT, GROUP, SORTED = 64, 2000, 500
 
 _BASES = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 _INVERSES = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
