@@ -48,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more.
+
+    Spark's cleaner learns of them when the driver's memory is collected, which
+    may come late in a driver with little to do; the files would add up on disk.
+    """
+    spark.sparkContext._jvm.System.gc()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut
+from tracewell.llm.common import cut, free
 from tracewell.llm.components import components
 from tracewell.llm.word_hashes import chunks, scramble, word_hashes
 
@@ -323,6 +323,7 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
             documents.select("doc_id", text_key(), "text").join(wanted, ["doc_id", "text_key"]), width
         ).dropDuplicates(["id"])
     )
+    free(documents.sparkSession)
     floor = percent / 100 - SLACK
 
     spokes = (
@@ -342,6 +343,7 @@ def near_groups(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
         .distinct()
     )
     links = cut(_confirmed(best, sets, percent))
+    free(documents.sparkSession)
     found = components(links)
 
     labelled = members.join(found, "id", "left").select(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut
+from tracewell.llm.common import cut, free
 from tracewell.llm.word_hashes import chunks, powers, scramble, word_hashes
 
 WINDOW, PREFIX = 50, 8
@@ -251,6 +251,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, prefix: int = P
         (F.min("key_a") != F.max("key_a")).alias("many"),
     )
     shared = cut(segments.join(groups.filter("least < most").drop("most"), "group"))
+    del segments, groups
+    free(documents.sparkSession)
     plain = shared.filter("not many and least < doc_id").select("doc_id", "text_key", "start", F.col("windows").alias("n"))
 
     distinct = (
@@ -261,6 +263,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, prefix: int = P
     )
     sizes = distinct.groupBy("group").agg((F.count(F.lit(1)) > GROUP).alias("large"))
     texts = cut(_texts_of(distinct.join(sizes, "group"), documents, window))
+    free(documents.sparkSession)
     runs = _trees(texts.filter("not large"), window).unionByName(_full_depth(texts.filter("large"), window))
     found = (
         shared.filter("many")
