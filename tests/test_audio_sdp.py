@@ -30,10 +30,10 @@ def test_g711(spark):
 
 
 def test_intervals_of_silence_and_clipping(spark):
-    left = np.r_[np.zeros(1600), np.full(14400, 2000)]
-    right = np.full(16000, 500)
-    right[4000:5600] = 32767
+    left = np.r_[np.full(800, 2500), np.zeros(1600), np.full(8000, 2500)]
+    right = np.full(10_400, 700)
+    right[6400:8000] = -32_768
     pcm = np.stack([left, right], 1).astype(int).ravel().tolist()
     df = spark.createDataFrame([("a", 2, 8000, pcm), ("b", 1, 8000, None)], "id string, channels int, rate int, pcm array<smallint>")
     rows = {(r.channel, r.kind): (r.start_ms, r.end_ms) for r in audio.quality_intervals(df, "id").collect()}
-    assert rows == {(1, "silence"): (0, 200), (2, "clipping"): (500, 700)}
+    assert rows == {(1, "silence"): (100, 300), (2, "clipping"): (800, 1000)}
