@@ -33,27 +33,32 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Makes Spark delete a query's shuffle files when the query ends, instead of when the driver's memory is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
     The folder is the one in ``spark.checkpoint.dir``. Where there is none, a
     temporary one is set if Spark runs on this machine alone; on a cluster that
-    is an error. Spark deletes a checkpoint once nothing refers to it if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    is an error. The shuffle files that made ``df`` are deleted once it is
+    written, as nothing reads them again. Spark deletes a checkpoint once nothing
+    refers to it if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
-def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that nothing refers to any more.
-
-    Spark's cleaner learns of them when the driver's memory is collected, which
-    may come late in a driver with little to do; the files would add up on disk.
-    """
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
