@@ -12,6 +12,7 @@ from tracewell.llm.embedding_dedup import near_vectors
 from tracewell.llm.line_dedup import line_dedup
 from tracewell.llm.minhash import near_duplicates
 from tracewell.llm.mixing import mix
+from tracewell.llm.packing import pack
 from tracewell.llm.pii import pseudonymise
 from tracewell.llm.quality import quality_verdicts
 from tracewell.llm.substring_dedup import substring_dedup
@@ -31,6 +32,7 @@ WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.08}
 PSEUDONYM_KEY = "key for tests only"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +90,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), TOKENIZER, PATTERN, ["doc_id"], end=1, ids=False)
+
+
 OP10_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -224,5 +230,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filters": op10_url_filters,
+    "op13_packing": op13_packing,
 }
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op9_embedding_near_dedup": OP9_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
