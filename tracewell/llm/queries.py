@@ -18,6 +18,7 @@ from tracewell.llm.quality import quality_verdicts
 from tracewell.llm.substring_dedup import substring_dedup
 from tracewell.llm.token_counts import length_table
 from tracewell.llm.url_filter import url_verdicts
+from tracewell.llm.whitening import whiten
 
 URL_RULES = [
     ("allow", "org/"),
@@ -90,6 +91,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"), ["vec_id"])
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), TOKENIZER, PATTERN, ["doc_id"], end=1, ids=False)
 
@@ -230,6 +235,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filters": op10_url_filters,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_packing": op13_packing,
 }
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op9_embedding_near_dedup": OP9_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
