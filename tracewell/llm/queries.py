@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.bpe import encode_documents, token_counts
 from tracewell.llm.common import read
+from tracewell.llm.divergence import source_divergence
 from tracewell.llm.embedding_dedup import near_vectors
 from tracewell.llm.line_dedup import line_dedup
 from tracewell.llm.minhash import near_duplicates
@@ -91,6 +92,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"), ["vec_id"])
 
@@ -224,6 +229,40 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(n,
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+each AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS c FROM each SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+         1 + CAST(1000000000 * CAST(coalesce(c, 0) + 5 AS HUGEINT) // (coalesce(n, 0) + 5 * v) AS BIGINT) AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+       LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+       LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + CAST(1000000000 * CAST(sum(c) + 5 AS HUGEINT) // (sum(sum(c)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS BIGINT) AS q
+  FROM counts JOIN v USING (lang) GROUP BY lang, term),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum(abs(p.p - q.p)), 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN shares p ON p.lang = a.lang AND p.source = a.source
+       LEFT JOIN shares q ON q.lang = p.lang AND q.source = b.source AND q.term = p.term
+  GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -235,7 +274,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_source_divergence": op11_source_divergence,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_packing": op13_packing,
 }
-ORACLES = {"op2_substring_dedup": OP2_SQL, "op9_embedding_near_dedup": OP9_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op9_embedding_near_dedup": OP9_SQL, "op5_minhash_near_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_source_divergence": OP11_SQL}
