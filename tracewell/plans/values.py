@@ -18,7 +18,7 @@ from tracewell.queries import query, table
 SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN substr(url, 8) END AS rest, left(url, 20) AS head,
        CASE WHEN contains(url, '/') THEN regexp_extract(url, '^([\s\S]*)/[^/]*$', 1) END AS before, regexp_extract(url, '([^/]*)$', 1) AS after,
        md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped_md5,
-       list_aggregate(list_transform(regexp_extract_all(regexp_extract(url, '[^/]*$'), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 12, '0') ELSE p END), 'string_agg', '') AS natural_key,
+       CASE WHEN url IS NOT NULL THEN coalesce(list_aggregate(list_transform(regexp_extract_all(regexp_extract(url, '[^/]*$'), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 12, '0') ELSE p END), 'string_agg', ''), '') END AS natural_key,
        url AS looked_up
 FROM pages
 """,
