@@ -76,7 +76,7 @@ def test_fragments_are_joined_and_gaps_found(capture):
 def test_frames_and_gops(capture):
     frames = []
     for i in range(7):
-        unit = bytes([0x65 if i % 3 == 0 else 0x41]) + b"x"
+        unit = bytes([0x65 if i % 3 == 0 else 0x41]) + b"\xb8"
         if i == 0:
             frames.append((0, udp(rtp(0, 0, b"\x18\x00\x02\x67a\x00\x02\x68b"))))
         frames.append((i * 40_000, udp(rtp(i + 1, i * 3600, unit, marker=i != 2))))
