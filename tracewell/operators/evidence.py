@@ -68,7 +68,7 @@ def with_position(rows: DataFrame, positions: DataFrame, key: list[str], number:
 
 def next_random_access(frames: DataFrame, flow: list[str], order: str, broken: Column, access: Column) -> DataFrame:
     """Frames with the first random access point after each broken one, and how far it is."""
-    w = Window.partitionBy(*flow).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*flow).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     nearest = F.min(F.when(access, F.col(order))).over(w)
     return frames.withColumn("recovers_at", F.when(broken, nearest)).withColumn("recovery_frames", F.col("recovers_at") - F.col(order))
 

@@ -123,6 +123,27 @@ def reports_of_streams(reports: DataFrame, streams: DataFrame, key: list[str], s
     return reports.join(alone, key)
 
 
+def reports_of_flows(reports: DataFrame, flows: DataFrame, stream: str) -> tuple[DataFrame, DataFrame]:
+    """Reports with the ``stream`` that they speak of, and warnings: one row for each report of no stream or of several.
+
+    A report's source (``ssrc``) belongs to a flow of the same capture, interface
+    and addresses, whose ports are those of the report or one below each of them;
+    on a TCP connection, whose channel is that of the report or one below. Each
+    flow is looked up by all places that its reports may come from, in one join
+    by equality. Warnings have the report's columns and ``candidates``.
+    """
+    one_above = lambda c: F.explode(F.array(F.col(c), F.col(c) + 1))
+    names = ["capture", "interface", "src_ip", "dst_ip", "ssrc"]
+    datagrams = flows.filter("channel < 0").withColumn("src_port", one_above("src_port")).withColumn("dst_port", one_above("dst_port"))
+    framed = flows.filter("channel >= 0").withColumn("channel", one_above("channel"))
+    place = [*names, "src_port", "dst_port", "connection", "channel"]
+    both = datagrams.unionByName(framed)
+    known = both.groupBy(*place).agg(F.count(F.lit(1)).alias("candidates"), F.min(stream).alias(stream))
+    joined = reports.join(known, place, "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    spoken = joined.filter("candidates = 1").select(*reports.columns, stream)
+    return spoken, joined.filter("candidates <> 1 and ssrc is not null").select(*reports.columns, "candidates")
+
+
 def ntp_micros(seconds: Column, fraction: Column) -> Column:
     """Microseconds of an NTP time in 32.32 fixed point, since 1900."""
     return seconds * 1_000_000 + F.shiftright(fraction * 1_000_000, 32)

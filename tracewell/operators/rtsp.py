@@ -102,7 +102,7 @@ def transactions(rows: DataFrame) -> DataFrame:
 
 def retried(found: DataFrame) -> DataFrame:
     """Transactions with ``accepted_later``: for status 401, whether the method succeeds later on the connection."""
-    w = Window.partitionBy(*CONNECTION, "method").orderBy("request_packet").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*CONNECTION, "method").orderBy(F.desc("request_packet")).rowsBetween(Window.unboundedPreceding, -1)
     later = F.coalesce(F.bool_or((F.col("status") > 0) & (F.col("status") < 300)).over(w), F.lit(False))
     return found.withColumn("accepted_later", F.when(F.col("status") == 401, later))
 
@@ -181,23 +181,54 @@ def sessions(rows: DataFrame) -> DataFrame:
     )
 
 
-def codec_of(rtp: DataFrame, agreed: DataFrame) -> DataFrame:
-    """RTP packets on channels with the codec and clock that the channel's track maps their payload type to.
+def _place(src_ip: Column, src_port: Column, dst_ip: Column, dst_port: Column, connection: Column, channel: Column, ends: Column | None = None) -> Column:
+    """Where a packet arrives: a channel of a connection, or a port that an address sends to."""
+    sides = [F.concat_ws("|", ip, F.lpad(port.cast("string"), 5, "0")) for ip, port in ((src_ip, src_port), (dst_ip, dst_port))]
+    both = F.array_join(F.array_sort(F.array(*sides)), " ") if ends is None else ends
+    return F.when(channel >= 0, F.concat_ws("/", both, connection, channel)).otherwise(F.concat_ws(">", src_ip, sides[1]))
 
-    Without a mapping a static payload type tells them; otherwise they are null.
+
+def bound(rows: DataFrame, agreed: DataFrame) -> DataFrame:
+    """Rows of flows with ``binding``, the latest one of ``bindings`` before them that fits; null without one.
+
+    A binding to a channel fits what comes on it; one to a port fits datagrams of
+    the server's address to it, from the server's port if that was agreed on and
+    else from any. Rows need number, the addresses and ports, connection and
+    channel (-1 for datagrams). Bindings and rows are merged in one shuffle.
     """
+    binding = F.struct(*[c for c in agreed.columns if c not in ("capture", "interface")])
+    common = ["capture", "interface", F.col("response_packet").alias("number"), binding.alias("_new")]
+    no_port, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     channels = agreed.filter("rtp_channel is not null").select(
-        "capture", "interface", "ends", "connection", F.col("rtp_channel").alias("channel"), F.explode("codecs").alias("c")
-    )
-    known = channels.groupBy("capture", "interface", "ends", "connection", "channel", F.col("c.payload_type").alias("pt")).agg(
-        F.first("c.codec").alias("codec"), F.first("c.clock_rate").alias("clock")
+        *common, _place(no_text, no_port, no_text, no_port, F.col("connection"), F.col("rtp_channel"), F.col("ends")).alias("_place"), no_port.alias("_port")
     )
-    ends = [F.concat_ws("|", f"{side}_ip", F.lpad(F.col(f"{side}_port").cast("string"), 5, "0")) for side in ("src", "dst")]
-    rows = rtp.withColumn("ends", F.array_join(F.array_sort(F.array(*ends)), " "))
-    joined = rows.join(known, ["capture", "interface", "ends", "connection", "channel", "pt"], "left")
-    return joined.withColumn("codec", F.coalesce("codec", sdp.static_value(F.col("pt"), "codec"))).withColumn(
-        "clock", F.coalesce("clock", sdp.static_value(F.col("pt"), "clock_rate"))
+    ports = agreed.filter("rtp_channel is null and client_port is not null").select(
+        *common,
+        _place(F.col("server_ip"), no_port, F.col("client_ip"), F.col("client_port"), F.lit(0), F.lit(-1)).alias("_place"),
+        F.col("server_port").cast("bigint").alias("_port"),
     )
+    place = _place(*map(F.col, ("src_ip", "src_port", "dst_ip", "dst_port", "connection", "channel")))
+    some = rows.withColumn("_place", place).withColumn("_port", F.when(F.col("channel") < 0, F.col("src_port").cast("bigint"))).withColumn("_row", F.lit(1))
+    both = some.unionByName(channels.unionByName(ports), allowMissingColumns=True)
+    key = ["capture", "interface", "_place"]
+    latest = lambda value, *more: F.last(value, True).over(Window.partitionBy(*key, *more).orderBy("number", F.asc_nulls_first("_row")))
+    new = F.when(F.col("_new").isNotNull(), F.struct("number", F.col("_new").alias("binding")))
+    found = both.withColumn("_open", latest(F.when(F.col("_port").isNull(), new))).withColumn("_given", latest(F.when(F.col("_port").isNotNull(), new), "_port"))
+    later = F.col("_open.number") > F.coalesce("_given.number", F.lit(-1))
+    chosen = F.when(F.coalesce(later, F.lit(False)), F.col("_open.binding")).otherwise(F.col("_given.binding"))
+    return found.withColumn("binding", chosen).filter("_row = 1").select(*rows.columns, "binding")
+
+
+def codec_of(rtp: DataFrame, agreed: DataFrame) -> DataFrame:
+    """RTP packets with the codec and clock that their binding's track maps their payload type to.
+
+    Without a mapping a static payload type tells them; otherwise they are null.
+    """
+    rows = bound(rtp, agreed)
+    mapped = F.get(F.filter("binding.codecs", lambda c: c["payload_type"] == F.col("pt")), 0)
+    return rows.withColumn("codec", F.coalesce(mapped["codec"], sdp.static_value(F.col("pt"), "codec"))).withColumn(
+        "clock", F.coalesce(mapped["clock_rate"], sdp.static_value(F.col("pt"), "clock_rate"))
+    ).drop("binding")
 
 
 def merged_sessions(found: DataFrame, key: list[str], order: str) -> DataFrame:
