@@ -25,8 +25,9 @@ INSIDE = np.zeros(256, bool)
 INSIDE[0x41:0x5B] = INSIDE[0x61:0x7B] = INSIDE[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-#: Bytes of text that are cut at once (a longer text alone), and places of a block's matrix.
-CHUNK, PLACES = 1 << 22, 1 << 18
+#: Bytes of text that are cut at once (a longer text alone), and places of a block's matrix; a block has
+#: as many as it has pairs of sources, if that is more, so that pairs never outnumber what they are made of.
+CHUNK, PLACES = 1 << 22, 1 << 15
 SCALE, PRIOR = 1_000_000_000, 5
 #: More languages than these are joined by a shuffle.
 BROADCAST_LANGS = 10_000
@@ -229,7 +230,7 @@ def source_divergence(documents: DataFrame, min_docs: int = 30, top: int = 50) -
     kept = cut(kept.filter(f"term = '' or all_docs >= {int(min_docs)}").drop("all_docs"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if(F.expr("first and term != ''")).alias("new"))
     langs = totals.groupBy("lang").agg(
-        F.sum("new").alias("terms"), F.expr(f"cast(greatest(1, ceil(sum(new) * count(*) / {PLACES})) as int)").alias("blocks")
+        F.sum("new").alias("terms"), F.expr(f"cast(greatest(1, ceil(sum(new) * count(*) / greatest({PLACES}, count(*) * count(*)))) as int)").alias("blocks")
     )
     if langs.count() <= BROADCAST_LANGS:
         langs = F.broadcast(langs)
