@@ -11,13 +11,13 @@ from tracewell.sources import captures as C
 
 SETUPS = (
     "capture string, interface string, ends string, connection long, request_packet long, response_packet long, session string, index int, kind string, "
-    "codecs array<struct<payload_type int, codec string, clock_rate int>>, transport string, rtp_channel int, client_ip string, server_ip string, client_port int, server_port int"
+    "codecs array<struct<payload_type int, codec string, clock_rate int, channels int>>, transport string, rtp_channel int, client_ip string, server_ip string, client_port int, server_port int"
 )
 
 
 def setup(capture, packet, codec, clock, port=None, server_port=None, channel=None, server="192.0.2.1"):
     ends = "198.51.100.1|40000 192.0.2.1|00554"
-    return (capture, "0", ends, 1, packet - 1, packet, "s", 0, "audio", [(96, codec, clock)], "tcp" if channel is not None else "udp", channel, "198.51.100.1", server, port, server_port)
+    return (capture, "0", ends, 1, packet - 1, packet, "s", 0, "audio", [(96, codec, clock, None)], "tcp" if channel is not None else "udp", channel, "198.51.100.1", server, port, server_port)
 
 
 def packets_of(spark, tmp_path, frames):

@@ -21,8 +21,9 @@ def last_before(rows: DataFrame, flow: Keys, order: Keys, where: Column, value:
 
 def next_after(rows: DataFrame, flow: Keys, order: Keys, where: Column, value: str) -> Column:
     """The value of the first later row of the flow where ``where`` holds."""
-    w = Window.partitionBy(*flow).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(where, F.col(value)), True).over(w)
+    # Spark looks ahead by reading all later rows again for each row; looking back reads each once.
+    w = Window.partitionBy(*flow).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(where, F.col(value)), True).over(w)
 
 
 def nearest(rows: DataFrame, flow: Keys, order: Keys, at: str, where: Column, value: str) -> DataFrame:

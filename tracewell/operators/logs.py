@@ -53,11 +53,12 @@ def decode_issues(lines: DataFrame, key: list[str], order: str, line: str) -> Da
     shown = F.when(F.col(line).contains("showinfo"), field(F.col(line), "n:").try_cast("bigint") + 1)
     place = F.when(shown.isNotNull(), F.struct(F.col(order).alias("at"), shown.alias("frame"), field(F.col(line), "pts_time:").alias("time")))
     w = Window.partitionBy(*key).orderBy(order)
+    back = Window.partitionBy(*key).orderBy(F.desc(order))
     rows = lines.withColumn("_f", place)
     rows = rows.withColumns(
         {
             "_before": F.last("_f", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_after": F.first("_f", True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+            "_after": F.last("_f", True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
     later = F.col("_before").isNull() | (F.col("_after.at") - F.col(order) < F.col(order) - F.col("_before.at"))

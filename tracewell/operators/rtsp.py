@@ -133,7 +133,7 @@ def bindings(rows: DataFrame) -> DataFrame:
     key = [*CONNECTION, "response_packet"]
     tracks = sdp.media(last, [*key, "base"], "sdp")
     alone = F.count(F.lit(1)).over(Window.partitionBy(*key)) == 1
-    tracks = tracks.withColumn("alone", alone).select(*key, "index", "kind", "codecs", "payload_types", "control", "alone")
+    tracks = tracks.withColumn("alone", alone).select(*key, "index", "kind", "codecs", "payload_types", "control", "frame_rate", "frame_size", "alone")
     fits = (F.col("control") != "*") & (F.col("control") != "") & (
         (F.col("uri") == F.col("control")) | F.col("uri").endswith(F.concat(F.lit("/"), F.col("control")))
     )
@@ -155,6 +155,8 @@ def bindings(rows: DataFrame) -> DataFrame:
         "kind",
         "codecs",
         "control",
+        "frame_rate",
+        "frame_size",
         F.when(F.lower("transport").contains("tcp"), "tcp").otherwise("udp").alias("transport"),
         pair(F.col("transport"), "interleaved", 0).alias("rtp_channel"),
         pair(F.col("transport"), "interleaved", 1).alias("rtcp_channel"),
@@ -220,15 +222,17 @@ def bound(rows: DataFrame, agreed: DataFrame) -> DataFrame:
 
 
 def codec_of(rtp: DataFrame, agreed: DataFrame) -> DataFrame:
-    """RTP packets with the codec and clock that their binding's track maps their payload type to.
+    """RTP packets with the codec, clock and channels that their binding's track maps their payload type to.
 
     Without a mapping a static payload type tells them; otherwise they are null.
     """
-    rows = bound(rtp, agreed)
+    return with_codec(bound(rtp, agreed)).drop("binding")
+
+
+def with_codec(rows: DataFrame) -> DataFrame:
     mapped = F.get(F.filter("binding.codecs", lambda c: c["payload_type"] == F.col("pt")), 0)
-    return rows.withColumn("codec", F.coalesce(mapped["codec"], sdp.static_value(F.col("pt"), "codec"))).withColumn(
-        "clock", F.coalesce(mapped["clock_rate"], sdp.static_value(F.col("pt"), "clock_rate"))
-    ).drop("binding")
+    names = {"codec": "codec", "clock": "clock_rate", "channels": "channels"}
+    return rows.withColumns({name: F.coalesce(mapped[field], sdp.static_value(F.col("pt"), field)) for name, field in names.items()})
 
 
 def merged_sessions(found: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -143,10 +143,9 @@ def q20(spark, sf_dir):
     ahead = w.rowsBetween(0, 3)
     # Whether a view follows is settled at the random access itself, then looked up with it.
     marked = rows.withColumn("view_near", F.max((F.col("event_type") == "view").cast("int")).over(ahead))
-    pair = F.first(F.when(F.col("event_type") == "purchase", F.struct("i", "view_near")), True).over(
-        w.rowsBetween(1, Window.unboundedFollowing)
-    )
-    found = marked.withColumn("ra", pair).filter("event_type = 'error'")
+    found = marked.withColumn("access", F.struct("i", "view_near"))
+    pair = J.next_after(found, ["user_id"], ["event_id"], F.col("event_type") == "purchase", "access")
+    found = found.withColumn("ra", pair).filter("event_type = 'error'")
     return found.select(
         "user_id", "i", F.col("ra.i").alias("ra"), (F.col("ra.i") - F.col("i")).alias("frames"),
         F.coalesce(F.col("ra.view_near") == 1, F.lit(False)).alias("visual"),
