@@ -78,9 +78,8 @@ def date_written(days, pattern):
     return f"{y:04}{sep}{d.month:02}{sep}{d.day:02}"
 
 
-def expected(found):
-    """The pseudonym of a match, or the match."""
-    kind = next(k for k, p in pii.PATTERNS.items() if re.fullmatch(p, found, re.ASCII))
+def expected(found, kind):
+    """The pseudonym of a match as one kind, or None if it isn't valid."""
     digits = re.sub(r"\D", "", found)
     number = lambda c: not c.isdigit()
     if kind == "email":
@@ -90,49 +89,65 @@ def expected(found):
     if kind == "account":
         plain = found.replace(" ", "")
         if not "02" <= plain[2:4] <= "98" or mod97(plain[4:] + plain[:4]) != 1:
-            return found
+            return None
         body = feistel_text(plain[4:], "account", pii.CAPITALS, plain[:2])
         return fill(found, f"{plain[:2]}{98 - mod97(body + plain[:2] + '00'):02}{body}", lambda c: c == " ")
     if kind.endswith("phone"):
         country = re.match(pii.COUNTRY, digits)[0] if found[0] == "+" else "1"
         national = digits[len(country) :] if found[0] == "+" else digits
         if not (len(national) == 10 if country == "1" else 5 <= len(national) <= 14):
-            return found
+            return None
         new = feistel_text(national, "phone", pii.DIGITS, country)
         return fill(found, (country if found[0] == "+" else "") + new, number)
     if kind == "address":
         parts = found.split(".")
         if any(int(p) > 255 or p != str(int(p)) for p in parts):
-            return found
+            return None
         a, b, c, d = map(int, parts)
         x, y = feistel_pair(a * 256 + b, c * 256 + d, (65536, 65536), "address")
         return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
     if kind == "date":
         if not (day := day_of(found)):
-            return found
+            return None
         cycle, inside = divmod(day[0], 146_097)
         a, b = feistel_pair(*divmod(inside, pii.CYCLE[1]), pii.CYCLE, "date")
         return date_written(cycle * 146_097 + a * pii.CYCLE[1] + b, day[1])
     if kind == "ssn":
         area, group, serial = map(int, found.split("-"))
         if not (0 < area < 900 and area != 666 and group and serial):
-            return found
+            return None
         areas = [x for x in range(1, 900) if x != 666]
         a, b = feistel_pair(areas.index(area) * 99 + group - 1, serial - 1, pii.SSN, "ssn")
         return f"{areas[a // 99]:03}-{a % 99 + 1:02}-{b + 1:04}"
     if kind == "card":
         if luhn(digits):
-            return found
+            return None
         body = feistel_text(digits[:-1], "card", pii.DIGITS)
         return fill(found, body + str(-luhn(body + "0") % 10), number)
-    return as_written(found, feistel_text(found.lower(), "secret", pii.HEX))
+    new = feistel_text(found.lower(), "secret", pii.HEX)
+    return new.upper() if re.search("[A-F]", found) else new
 
 
 def brute(text):
-    found = [m[0] for m in re.finditer(pii.ANY, text or "", re.ASCII)] if text else []
-    new = [expected(f) for f in found]
-    out = re.sub(pii.ANY, lambda m: expected(m[0]), text, flags=re.ASCII) if text else text
-    return out, len(found), sum(a != b for a, b in zip(found, new))
+    """Every place outside of replaced values is tried as each kind in order."""
+    if not text:
+        return text, 0, 0
+    out, at, found, replaced = [], 0, 0, 0
+    begins, patterns = re.compile(pii.ANY, re.ASCII), {k: re.compile(p, re.ASCII) for k, p in pii.PATTERNS.items()}
+    while at < len(text):
+        new = None
+        if begins.match(text, at):
+            found += 1
+            tried = ((m[0], expected(m[0], k)) for k, p in patterns.items() if (m := p.match(text, at)))
+            old, new = next(((o, n) for o, n in tried if n is not None), (None, None))
+        if new is None:
+            out.append(text[at])
+            at += 1
+        else:
+            replaced += new != old
+            out.append(new)
+            at += len(old)
+    return "".join(out), found, replaced
 
 
 def random_value():
@@ -150,6 +165,8 @@ def random_value():
         account, spaced, account[:-1] + "Q", f"+{cc}{phone}", f"+{cc} {phone[:3]} {phone[3:6]}-{phone[6:]}", f"+{cc}({phone[:3]}){phone[3:6]} {phone[6:]}",
         f"{phone[:3]}-{phone[3:6]}-{phone[6:]}", f"({phone[:3]}) {phone[3:6]}-{phone[6:]}", ".".join(str(random.randint(0, 270)) for _ in range(4)), f"010.1.{d(1)}.2",
         f"{y}-{m}-{day}", f"{y}/{m}/{day}", f"{m}/{day}/{y}", f"{day}.{m}.{y}", f"{d(3)}-{d(2)}-{d(4)}", "666-12-3456", card, "-".join(card[i : i + 4] for i in range(0, len(card), 4)), d(16),
+        "AB12 " + " ".join(card[i : i + 4] for i in range(0, len(card), 4)), f"{d(2)} {account}", f"12.{'.'.join(str(random.randint(0, 270)) for _ in range(4))}",
+        random.choice("ABCDEF") + random.choice("ABCDEF") + d(2) + "".join(random.choices("0123456789ABCDEF", k=28)), f"{d(13)} {card}",
         "".join(random.choices("0123456789abcdef", k=random.choice([31, 32, 40]))), "".join(random.choices("0123456789ABCDEF", k=40)), d(3), "v2.0", "word", "Ünïcode",
     ])
 
@@ -169,6 +186,35 @@ def test_pseudonyms_against_brute_force(spark):
     assert results(spark, texts) == {i: brute(t) for i, t in enumerate(texts)}
 
 
+#: Texts and what is in them, by hand: (kind, place) of each valid value.
+BY_HAND = [
+    ("AB12CDEF0123456789ABCDEF01234567", [("secret", 0, 32)]),
+    ("AB12 4111 1111 1111 1111", [("card", 5, 24)]),
+    ("DE89 3704 0044 0532 0130 00", [("account", 0, 27)]),
+    ("see DE89370400440532013001 or DE89370400440532013000", [("account", 30, 52)]),
+    ("999.1.1.1 10.0.0.1", [("address", 10, 18)]),
+    ("2024-02-30 2024-02-29", [("date", 11, 21)]),
+    ("000-12-3456 123-45-6789", [("ssn", 12, 23)]),
+    ("4111 1111 1111 1112 4111 1111 1111 1111", [("card", 20, 39)]),
+    ("mail AB12 4111-1111-1111-1111, +1 212 555 0123", [("card", 10, 29), ("phone", 31, 46)]),
+    ("Z@1 a.b@example.org", [("email", 4, 19)]),
+]
+
+
+def test_what_is_valid_is_replaced_wherever_it_stands(spark):
+    got = results(spark, [t for t, _ in BY_HAND])
+    for i, (text, values) in enumerate(BY_HAND):
+        new = got[i][0]
+        assert len(new) == len(text) and got[i][2] == len(values)
+        at = 0
+        for kind, start, end in [*values, (None, len(text), len(text))]:
+            assert new[at:start] == text[at:start]
+            if kind:
+                assert new[start:end] != text[start:end]
+                assert {"secret": lambda v: re.fullmatch("[0-9A-F]{32}", v), "card": lambda v: luhn(re.sub(r"\D", "", v)) == 0, "account": lambda v: mod97((p := v.replace(" ", ""))[4:] + p[:4]) == 1}.get(kind, bool)(new[start:end])
+            at = end
+
+
 def test_all_texts_of_a_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     want = {r.doc_id: brute(r.text) for r in rows.collect()}

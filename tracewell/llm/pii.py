@@ -270,23 +270,61 @@ def _date(found: Column, key: str) -> Column:
 
 
 def _secret(found: Column, key: str) -> Column:
-    return _as_written(found, permute_text(F.lower(found), "secret", key, HEX))
-
-
-def pseudonym(found: Column, key: str) -> Column:
-    """The pseudonym of one match of ``ANY``; itself if it isn't valid."""
-    kind = lambda name: found.rlike(f"^(?:{PATTERNS[name]})$")
-    return F.coalesce(
-        F.when(kind("email"), _email(found, key))
-        .when(kind("account"), _account(found, key))
-        .when(kind("phone") | kind("local_phone"), _phone(found, key))
-        .when(kind("address"), _address(found, key))
-        .when(kind("date"), _date(found, key))
-        .when(kind("ssn"), _ssn(found, key))
-        .when(kind("card"), _card(found, key))
-        .when(kind("secret"), _secret(found, key)),
-        found,
-    )
+    """Hexadecimal digits in the case of those of ``found``."""
+    return let(permute_text(F.lower(found), "secret", key, HEX), lambda new: F.when(found.rlike("[A-F]"), F.upper(new)).otherwise(new))
+
+
+#: What makes a pseudonym of each kind, or null of what isn't valid.
+MAKERS = {
+    "email": _email, "account": _account, "phone": _phone, "local_phone": _phone, "address": _address, "date": _date, "ssn": _ssn, "card": _card, "secret": _secret,
+}
+
+
+def _replaced(line: Column, key: str) -> Column:
+    """A line with its valid values replaced (text), and how many matches were looked at (n_found) and replaced (n_replaced).
+
+    ``ANY`` without width holds at every place where a match begins, inside
+    others too. The line is cut at these places; of each one the kinds are tried
+    in their order until one is valid, and places inside a value that was
+    replaced are left out.
+    """
+    at = f"(?={ANY})"
+    matches = F.arrays_zip(*[F.regexp_extract_all(line, F.lit(f"{at}(?=({PATTERNS[kind]})|)"), F.lit(1)).alias(kind) for kind in MAKERS])
+
+    def of_kind(found: Column, kind: str) -> Column:
+        new = let(F.when(found != "", found), lambda f: MAKERS[kind](f, key))
+        return let(new, lambda n: F.when(n.isNotNull(), F.struct(n.alias("new"), F.length(found).alias("n"), (n != found).alias("moved"))))
+
+    def walked(pieces: Column, values: Column, first: Column) -> Column:
+        # ``end``: where the value that was replaced last ends; ``cuts``: how much of each piece it covers, or -1 for a new value.
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.array().cast("array<int>").alias("cuts"))
+
+        def step(state: Column, i: Column) -> Column:
+            value, size = F.get(values, i - first), F.length(F.get(pieces, i))
+            inside = state["at"] < state["end"]
+            taken = ~inside & (i >= first) & value.isNotNull()
+            cut = F.when(taken, -1).when(inside, F.least(state["end"] - state["at"], size)).otherwise(0)
+            return F.struct(
+                (state["at"] + size).alias("at"), F.when(taken, state["at"] + value["n"]).otherwise(state["end"]).alias("end"), F.concat(state["cuts"], F.array(cut)).alias("cuts")
+            )
+
+        def out(cuts: Column) -> Column:
+            def piece(p: Column, i: Column) -> Column:
+                cut, value = F.get(cuts, i), F.get(values, i - first)
+                kept = lambda n: F.substring(p, n + 1, F.length(p))
+                return F.when(cut < 0, F.concat(value["new"], kept(F.least(value["n"], F.length(p))))).otherwise(kept(cut))
+
+            tried = F.filter(F.transform(cuts, lambda c, i: (i >= first) & (c <= 0)), lambda t: t)
+            changed = F.filter(cuts, lambda c, i: (c < 0) & F.get(values, i - first)["moved"])
+            return F.struct(
+                F.array_join(F.transform(pieces, piece), "").alias("text"), F.size(tried).cast("bigint").alias("n_found"), F.size(changed).cast("bigint").alias("n_replaced")
+            )
+
+        return let(F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), start, step, lambda state: state["cuts"]), out)
+
+    values = F.transform(matches, lambda m: F.coalesce(*[of_kind(m[kind], kind) for kind in MAKERS]))
+    both = F.struct(F.split(line, at).alias("pieces"), values.alias("values"))
+    return let(both, lambda b: walked(b["pieces"], b["values"], F.size(b["pieces"]) - F.size(b["values"])))
 
 
 def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
@@ -295,31 +333,28 @@ def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
     Found are e-mail addresses, international account numbers, phone numbers,
     IPv4 addresses, dates, social security numbers, card numbers, and secrets of
     32 hexadecimal digits or more. Null and empty texts stay as they are, with 0
-    found; texts of any length are replaced whole. A match that isn't valid (a
-    wrong check digit, an address part above 255, a day that doesn't exist, a
-    number that is never issued) stays. Every row is judged for itself, so
-    repeated rows become equal rows, and an empty table stays empty. Of other
-    columns, only those named n_found and n_replaced are replaced.
+    found; texts of any length are replaced whole, line by line, as no value goes
+    over a line's end. A match that isn't valid (a wrong check digit, an address
+    part above 255, a day that doesn't exist, a number that is never issued)
+    stays, but is tried as each of the other kinds, and what begins inside it is
+    looked at as if it weren't there. n_found counts the places looked at: those
+    outside of replaced values. Texts of one character to permute move by a
+    constant. Every row is judged for itself, so repeated rows become equal rows,
+    and an empty table stays empty. Of other columns, only those named n_found
+    and n_replaced are replaced.
     """
-    text = F.coalesce("text", F.lit(""))
-
-    def rebuilt(found: Column) -> Column:
-        def out(new: Column) -> Column:
-            pieces = F.transform(F.split("text", ANY), lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.lit(""))))
-            changed = F.filter(F.arrays_zip(found.alias("f"), new.alias("n")), lambda z: z["f"] != z["n"])
-            return F.struct(
-                F.array_join(pieces, "").alias("text"),
-                F.size(found).cast("bigint").alias("n_found"),
-                F.size(changed).cast("bigint").alias("n_replaced"),
-            )
+    zero = F.lit(0).cast("bigint")
+    same = lambda line: F.struct(line.alias("text"), zero.alias("n_found"), zero.alias("n_replaced"))
+    each = lambda line: F.when(line.rlike(HINT) & line.rlike(ANY), _replaced(line, key)).otherwise(same(line))
+    total = lambda lines, name: F.aggregate(lines, zero, lambda n, line: n + line[name])
 
-        return let(F.transform(found, lambda m: pseudonym(m, key)), out)
+    def joined(lines: Column) -> Column:
+        text = F.array_join(F.transform(lines, lambda line: line["text"]), "\n")
+        return F.struct(text.alias("text"), total(lines, "n_found").alias("n_found"), total(lines, "n_replaced").alias("n_replaced"))
 
-    zero = F.lit(0).cast("bigint")
-    unchanged = F.struct(F.col("text"), zero.alias("n_found"), zero.alias("n_replaced"))
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    lines = F.transform(F.split("text", "\n"), each)
+    result = F.when(F.col("text").rlike(HINT), let(lines, joined)).otherwise(same(F.col("text")))
     names = [n for n in documents.columns if n not in ("text", "n_found", "n_replaced")]
     places = ["out.text" if n == "text" else f"row.{quoted(n)}" for n in documents.columns if n in names or n == "text"]
     row = F.struct(*map(quoted, names)) if names else F.lit(None)
-    result = let(found, lambda f: F.when(F.size(f) == 0, unchanged).otherwise(rebuilt(f)))
     return documents.select(row.alias("row"), result.alias("out")).select(*places, "out.n_found", "out.n_replaced")
