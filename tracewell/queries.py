@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tracewell.plans import diagnosis, flows, media, relations, reports, signalling, signals, values, wire  # noqa: E402,F401
+from tracewell.plans import capture, diagnosis, flows, media, relations, reports, signalling, signals, values, wire  # noqa: E402,F401
