@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import cents, micros, milli
+from tracewell.operators import hot_flows as H
 from tracewell.operators import sequence as S
 from tracewell.queries import query, table
 
@@ -327,3 +328,31 @@ def q55(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max")
     )
+
+
+@query(
+    "q141_hot_flows",
+    """
+WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id + 1 END AS flow, event_id AS n, CASE event_id % 7 WHEN 3 THEN event_id + 20 ELSE event_id + 60 END // 2 AS seq, (event_id * 37) % 256 AS w, epoch_us(ts) // 3600000000 * (event_id % 5 + 90) AS us FROM events),
+s AS (SELECT *, coalesce(((w - lag(w) OVER o + 128 + 256) % 256) - 128, w) AS step, row_number() OVER (PARTITION BY flow, seq ORDER BY n) AS copy FROM e WINDOW o AS (PARTITION BY flow ORDER BY n)),
+u AS (SELECT *, CASE WHEN copy = 1 THEN seq END AS u FROM s),
+b AS (SELECT *, max(u) OVER (PARTITION BY flow ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(u IGNORE NULLS) OVER (PARTITION BY flow ORDER BY n) AS f,
+             max(seq) OVER (PARTITION BY flow ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM u),
+a AS (SELECT *, last_value(CASE WHEN high IS NULL OR seq > high THEN us END IGNORE NULLS) OVER (PARTITION BY flow ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock FROM b)
+SELECT flow, count(*) AS packets, count(u) AS uniques, count(*) - count(u) AS duplicates, max(u) - min(f) + 1 - count(*) FILTER (u >= f) AS lost,
+       coalesce(max(CASE WHEN copy = 1 AND seq > before THEN seq - before - 1 END), 0) AS max_gap, count(*) FILTER (copy = 1 AND NOT (before IS NULL OR seq > before)) AS out_of_order,
+       count(*) FILTER ((high IS NULL OR seq > high) AND us < clock) AS rollbacks, CAST(sum(step) AS BIGINT) AS last_ext
+FROM a GROUP BY flow
+""",
+)
+def q141(spark, sf_dir):
+    """Events with half of them in one flow, by pieces of 500 events."""
+    n = F.col("event_id")
+    rows = events(spark, sf_dir).select(
+        F.when(n % 2 == 0, 0).otherwise(F.col("user_id") + 1).alias("flow"), n.alias("n"), F.floor(F.when(n % 7 == 3, n + 20).otherwise(n + 60) / 2).alias("seq"), ((n * 37) % 256).alias("w"),
+        (F.floor(F.col("us") / HOUR) * (n % 5 + 90)).alias("us"),
+    )
+    statistics = H.sequence_statistics(rows, ["flow"], "n", "seq", 500)
+    back = H.rollbacks(rows, ["flow"], "n", "seq", "us", width=500)
+    last = H.unwrap(rows, ["flow"], "n", "w", 256, width=500).groupBy("flow").agg(F.max_by("ext", "n").alias("last_ext"))
+    return statistics.join(back, "flow").join(last, "flow")
