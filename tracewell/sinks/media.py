@@ -39,10 +39,14 @@ def elementary_stream(units: DataFrame, key: list[str], order: str, part_bytes:
 def wav(pcm: Column, rate: Column, channels: Column) -> Column:
     """A RIFF file of 16-bit samples."""
     data = F.unhex(F.array_join(F.transform(pcm, lambda x: F.hex(little(x.cast("int"), 2))), ""))
-    size = F.size(pcm) * 2
+    return F.concat(wav_head(F.size(pcm) * 2, rate, channels), data)
+
+
+def wav_head(size: Column, rate: Column, channels: Column) -> Column:
+    """What stands before the samples of a RIFF file; ``size`` is their bytes."""
     return F.concat(
         F.lit(bytearray(b"RIFF")), little(size + 36, 4), F.lit(bytearray(b"WAVEfmt ")), little(F.lit(16), 4), little(F.lit(1), 2), little(channels, 2),
-        little(rate, 4), little(rate * channels * 2, 4), little(channels * 2, 2), little(F.lit(16), 2), F.lit(bytearray(b"data")), little(size, 4), data,
+        little(rate, 4), little(rate * channels * 2, 4), little(channels * 2, 2), little(F.lit(16), 2), F.lit(bytearray(b"data")), little(size, 4),
     )
 
 
@@ -62,8 +66,8 @@ def opus_headers(channels: Column, vendor: str = "tracewell") -> tuple[Column, C
     return head, F.lit(bytearray(b"OpusTags" + len(name).to_bytes(4, "little") + name + bytes(4)))
 
 
-def opus_file(packets: DataFrame, key: list[str], order: str, samples: str, channels: Column, serial: Column) -> DataFrame:
-    """(key, content): Opus payloads ``body`` as Ogg pages after the two header pages; the granule counts samples up to each page's end."""
+def opus_pages(packets: DataFrame, key: list[str], order: str, samples: str, channels: Column, serial: Column) -> DataFrame:
+    """(key, number, content): Opus payloads ``body`` as Ogg pages after the two header pages; the granule counts samples up to each page's end."""
     w = Window.partitionBy(*key).orderBy(order)
     rows = packets.filter(F.octet_length("body") > 0)
     number = F.row_number().over(w) + 1
@@ -78,14 +82,33 @@ def opus_file(packets: DataFrame, key: list[str], order: str, samples: str, chan
             for i, (kind, packet) in enumerate(zip((2, 0), opus_headers(F.col("_channels"))))
         ])),
     )
-    return joined(intro.unionByName(pages), key, "_page", F.col("_data"))
+    return intro.unionByName(pages).select(*key, F.col("_page").cast("bigint").alias("number"), F.col("_data").alias("content"))
+
+
+def opus_file(packets: DataFrame, key: list[str], order: str, samples: str, channels: Column, serial: Column) -> DataFrame:
+    """(key, content): the pages of ``opus_pages`` as one value, for short recordings; write long ones by ``files.write_recordings``."""
+    return joined(opus_pages(packets, key, order, samples, channels, serial), key, "number", F.col("content"))
+
+
+def wav_parts(pieces: DataFrame, key: list[str], order: str, rate: str, channels: str) -> DataFrame:
+    """(key, number, content): PCM tracks that are held as pieces (``pcm``, in ``order``) as the parts of RIFF files, the header first."""
+
+    @F.arrow_udf("binary")
+    def samples(pcm: pa.Array) -> pa.Array:
+        return pa.array([None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<i2").tobytes() for x in pcm], pa.binary())
+
+    none = F.array().cast("array<int>")
+    totals = pieces.groupBy(*key).agg(F.sum(F.size("pcm")).alias("_n"), F.max(rate).alias("_rate"), F.max(channels).alias("_channels"))
+    head = totals.select(*key, F.lit(-1).cast("bigint").alias("number"), wav_head(F.col("_n") * 2, F.col("_rate"), F.col("_channels")).alias("content"))
+    return head.unionByName(pieces.select(*key, F.col(order).cast("bigint").alias("number"), samples(F.coalesce(F.col("pcm").cast("array<int>"), none)).alias("content")))
 
 
 def write_files(contents: DataFrame, folder: str, name: Column) -> DataFrame:
     """Write each row's ``content`` to ``folder``/``name``: (path, bytes) once the result is computed.
 
     ``folder`` is a URI that all executors share, for Arrow's file systems. A
-    task that runs again writes the same file again.
+    task that runs again writes the same file again, and a job that fails leaves
+    what was written: ``files.write_recordings`` leaves all or nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
