@@ -10,6 +10,7 @@ from tracewell.functions.scalar import cents, micros
 from tracewell.operators import evidence, parameter_sets, rtsp, sdp, tcp
 from tracewell.operators.sync import neighbours
 from tracewell.queries import query, table
+from tracewell.sources import probe
 from tracewell.sinks import media, reports
 
 
@@ -347,3 +348,41 @@ def q119(spark, sf_dir):
     url = F.concat(F.lit("rtsp://u:pw9@h/"), "s_suppkey")
     errors = F.array_join(T.redact_all(F.array(F.concat(F.lit("GET "), url), F.lit("again pw9")), url), ",")
     return found.select("s_suppkey", "sdp", errors.alias("errors"))
+
+
+@query(
+    "q142_probe_frames",
+    """
+WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+c AS (SELECT *, CASE event_id % 5 WHEN 0 THEN NULL WHEN 3 THEN i // 2 WHEN 4 THEN 1000000 ELSE i END AS r FROM e),
+u AS (SELECT *, CASE WHEN r < n AND count(*) OVER (PARTITION BY user_id, r) = 1 THEN r END AS d FROM c)
+SELECT user_id, i AS display_index, d AS decode_index, CASE WHEN r IS NULL THEN 'unavailable' WHEN d IS NULL THEN 'not_unique' ELSE 'coded_picture_number' END AS decode_precision,
+       i * 40 AS pts_ms, CASE WHEN event_id % 2 = 0 THEN 40 END AS duration_ms, event_id AS packet_position, CASE WHEN event_id % 6 > 0 THEN event_id % 100 END AS packet_size,
+       event_id % 4 < 3 AS key_frame, CASE event_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS interlaced
+FROM u
+""",
+)
+def q142(spark, sf_dir):
+    """Events as the frames of their users' probe documents; fields are numbers, texts or truth values in turn."""
+    n, i = F.col("event_id"), F.col("i")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    text = lambda c: c.cast("string")
+    seconds = F.concat(F.floor(i * 40 / 1000), F.lit("."), F.lpad(text(i * 40 % 1000), 3, "0"))
+    fields = [
+        F.when(n % 5 == 1, F.concat(F.lit('"coded_picture_number":'), quoted(text(i)))).when(n % 5 == 2, F.concat(F.lit('"coded_picture_number":'), i)).when(
+            n % 5 == 3, F.concat(F.lit('"coded_picture_number":'), F.floor(i / 2))).when(n % 5 == 4, F.lit('"coded_picture_number":1000000')),
+        F.when(n % 3 == 0, F.concat(F.lit('"pts_time":'), quoted(seconds))).when(n % 3 == 1, F.concat(F.lit('"pts_time":'), seconds)).otherwise(
+            F.concat(F.lit('"pts_time":null,"best_effort_timestamp_time":'), seconds)),
+        F.when(n % 2 == 0, F.lit('"pkt_duration_time":0.04')).otherwise(F.lit('"pkt_duration_time":"N/A"')),
+        F.concat(F.lit('"pkt_pos":'), quoted(text(n))),
+        F.concat(F.lit('"pkt_size":'), F.when(n % 6 == 0, quoted(F.lit("x"))).otherwise(text(n % 100))),
+        F.element_at(F.array(*map(F.lit, ('"key_frame":1', '"key_frame":"1"', '"key_frame":true', '"other":{"key_frame":1}'))), (n % 4 + 1).cast("int")),
+        F.element_at(F.array(*map(F.lit, ('"interlaced_frame":true', '"interlaced_frame":"0"', '"interlaced_frame":[1]'))), (n % 3 + 1).cast("int")),
+    ]
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    frames = table(spark, sf_dir, "events").select("user_id", "event_id", place.cast("bigint").alias("i"))
+    one = frames.select("user_id", "event_id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("json"))
+    sorted_frames = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "json"))), lambda x: x["json"])
+    documents = one.groupBy("user_id").agg(F.concat(F.lit('{"streams":[],"frames":['), F.array_join(sorted_frames, ","), F.lit("]}")).alias("json"))
+    names = ["display_index", "decode_index", "decode_precision", "pts_ms", "duration_ms", "packet_position", "packet_size", "key_frame", "interlaced"]
+    return probe.probe_frames(documents, ["user_id"], "json").select("user_id", *names)
