@@ -11,18 +11,19 @@ def pcap(frames, link=1, order="<", nano=False):
     return out
 
 
-def pcapng(frames, ticks_exponent=9):
+def pcapng(frames, ticks_exponent=9, order="<"):
     def block(kind, body):
         body += b"\0" * (-len(body) % 4)
         size = len(body) + 12
-        return struct.pack("<2I", kind, size) + body + struct.pack("<I", size)
+        return struct.pack(order + "2I", kind, size) + body + struct.pack(order + "I", size)
 
-    out = block(0x0A0D0D0A, b"\x4d\x3c\x2b\x1a" + struct.pack("<2Hq", 1, 0, -1))
+    magic = b"\x4d\x3c\x2b\x1a" if order == "<" else b"\x1a\x2b\x3c\x4d"
+    out = block(0x0A0D0D0A, magic + struct.pack(order + "2Hq", 1, 0, -1))
     for _ in range(2):
-        out += block(1, struct.pack("<2HI", 1, 0, 65535) + struct.pack("<2HB3x", 9, 1, ticks_exponent) + struct.pack("<2H", 0, 0))
+        out += block(1, struct.pack(order + "2HI", 1, 0, 65535) + struct.pack(order + "2HB3x", 9, 1, ticks_exponent) + struct.pack(order + "2H", 0, 0))
     for interface, us, data in frames:
         ticks = us * 10**ticks_exponent // 1_000_000
-        out += block(6, struct.pack("<5I", interface, ticks >> 32, ticks & 0xFFFFFFFF, len(data), len(data)) + data)
+        out += block(6, struct.pack(order + "5I", interface, ticks >> 32, ticks & 0xFFFFFFFF, len(data), len(data)) + data)
     return out
 
 

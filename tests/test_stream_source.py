@@ -7,7 +7,8 @@ from pyspark.errors import PySparkException
 
 from tests.builders import pcap, pcapng
 from tracewell.sources.captures import frames_of, split_annex_b
-from tracewell.sources.stream import stream_frames, stream_units
+from tracewell.sources import stream
+from tracewell.sources.stream import capture_tables, stream_frames, stream_units
 
 
 def rows_of(df):
@@ -33,6 +34,28 @@ def test_pieces_of_captures(spark, tmp_path, piece):
         assert rows_of(stream_frames(spark, str(file), piece)) == whole(spark, content), name
 
 
+@pytest.mark.parametrize("piece", [331, 5000, 1 << 20])
+def test_pieces_of_block_captures(spark, tmp_path, piece):
+    tagged = lambda n, seed, zeros=False: [(i % 2, us, data) for i, (us, data) in enumerate(some_frames(n, seed, zeros))]
+    sections = pcapng(tagged(20, 1)) + pcapng(tagged(25, 2), 6, ">") + pcapng(tagged(1, 3), 3) + pcapng([], 6, ">") + pcapng(tagged(30, 4, True), 9, ">")
+    for name, content in {"one": pcapng(tagged(60, 5)), "big": pcapng(tagged(60, 6), order=">"), "sections": sections, "empty": pcapng([]), "cut": sections[:-30], "shorter": sections[:-5]}.items():
+        (tmp_path / name).write_bytes(content)
+        assert rows_of(stream_frames(spark, str(tmp_path / name), piece)) == whole(spark, content), name
+    tables = capture_tables(spark, str(tmp_path), piece)
+    assert {len(found) for found in tables.values()} == {3, 15} and len(tables) == 6
+    parts = stream.FrameReader(str(tmp_path / "sections"), 331, {k: v for k, v in tables.items()}).partitions()
+    assert len(parts) > 60
+
+
+def test_a_block_capture_inside_a_packet_is_not_misread(spark, tmp_path):
+    inner = pcapng([(0, us, data) for us, data in some_frames(40, 6)])
+    content = pcapng([(0, 1_700_000_000_000_000, inner), *[(1, us, data) for us, data in some_frames(5, 7)]])
+    (tmp_path / "nested").write_bytes(content)
+    with pytest.raises(PySparkException):
+        stream_frames(spark, str(tmp_path / "nested"), 500).collect()
+    assert rows_of(stream_frames(spark, str(tmp_path / "nested"), len(content))) == whole(spark, content)
+
+
 def test_block_captures_and_broken_files(spark, tmp_path):
     frames = [(i % 2, us, data) for i, (us, data) in enumerate(some_frames(50, 4))]
     good = pcapng(frames)

@@ -6,12 +6,20 @@ reads on until it has the last packet that begins before its piece's end. It the
 looks for the next piece's first packet the same way: if that isn't where its
 own last one ends (as in a capture that carries another one's bytes), the read
 fails and asks for pieces as large as the file. Elementary
-streams are cut the same way at start codes. pcapng files, whose packets refer to
-blocks anywhere before them, are one piece each but are still streamed.
+streams are cut the same way at start codes.
+
+pcapng files are cut where several blocks follow each other, whose lengths stand
+at both of their ends. Their packets refer to sections and interfaces anywhere
+before them: a first pass over the pieces gathers only the blocks of these, a
+few per file, and each piece of the second pass is told those that stand before
+it.
 """
 
 from __future__ import annotations
 
+import base64
+import bisect
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -21,17 +29,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tracewell.sources.captures import BATCH, LONGEST_FRAME, PCAP_MAGIC, PCAPNG_MAGIC, read_pcapng_blocks
+from tracewell.sources.captures import BATCH, INTERFACE, LONGEST_FRAME, PCAP_MAGIC, PCAPNG_MAGIC, SECTION, read_pcapng_blocks
 
 #: Bytes of a piece, of a read, and of an Arrow batch; headers that have to follow each other; seconds that times may lie apart.
 PIECE, READ, BATCH_BYTES, CHAIN, APART = 128 << 20, 1 << 20, 8 << 20, 4, 366 * 86_400
 FRAME_FIELDS = "capture string, split bigint, position bigint, ts_us bigint, interface string, link_type int, truncated boolean, data binary, error string"
+TABLE_FIELDS = "capture string, position bigint, byte_order string, kind bigint, body binary"
+#: Kinds of pcapng blocks that applications make up; others are small numbers, sections, or have the first bit set.
+CUSTOM_BLOCKS = (0x0BAD, 0x40000BAD)
+#: Sections and interfaces of all captures together that the driver holds.
+MOST_TABLES = 1_000_000
 UNIT_FIELDS = "path string, split bigint, position bigint, data binary"
 
 
 class Piece(InputPartition):
     def __init__(self, path: str, start: int, end: int, size: int):
         self.path, self.start, self.end, self.size = path, start, end, size
+        #: Sections and interfaces of a pcapng file: (position, byte order, kind, body), in order.
+        self.tables: list[tuple[int, str, int, bytes]] = []
 
 
 def _open(path: str):
@@ -140,26 +155,95 @@ def _pcap_rows(file, piece: Piece, head: bytes) -> Iterator[tuple]:
             raise ValueError(f"{piece.path}: pieces don't meet at byte {buffer.position}; read it with a piece of {piece.size} bytes")
 
 
+def _block_size(buffer: _Buffered, at: int, order: str) -> tuple[int, str]:
+    """The length of the block at byte ``at`` of the buffer and its byte order; 0 where its two lengths say something else."""
+    if not buffer.need(at + 12):
+        return 0, order
+    if bytes(buffer.data[at : at + 4]) == PCAPNG_MAGIC:
+        order = "<" if bytes(buffer.data[at + 8 : at + 12]) == b"\x4d\x3c\x2b\x1a" else ">"
+    size = struct.unpack_from(order + "I", buffer.data, at + 4)[0]
+    if size < 12 or size % 4 or size > LONGEST_FRAME + 4096 or not buffer.need(at + size):
+        return 0, order
+    return (size if struct.unpack_from(order + "I", buffer.data, at + size - 4)[0] == size else 0), order
+
+
+def _first_block(buffer: _Buffered, end: int, orders: str) -> str:
+    """Move to the first block that begins before ``end``, or to ``end``; returns its byte order.
+
+    A block has whole ones behind it, ``CHAIN`` with itself, but for the file's end.
+    """
+
+    def follows(at: int, order: str) -> bool:
+        for n in range(CHAIN):
+            if not buffer.need(at + 12):
+                return n > 0
+            size, order = _block_size(buffer, at, order)
+            kind, said = struct.unpack_from(order + "2I", buffer.data, at)
+            if not (0 < kind < 0x210 or kind == SECTION or kind & 0x7FFFFFFF in CUSTOM_BLOCKS or kind >> 31):
+                return False
+            if not size:
+                return n > 0 and 12 <= said <= LONGEST_FRAME + 4096 and not said % 4 and not buffer.need(at + said)
+            at += size
+        return True
+
+    at = -buffer.position % 4
+    while buffer.position + at < end:
+        for order in orders:
+            if follows(at, order):
+                buffer.take(at)
+                return order
+        at += 4
+    buffer.need(at)
+    buffer.take(at)
+    return orders[0]
+
+
+def _piece_blocks(file, piece: Piece, orders: str) -> Iterator[tuple[int, int, bytes, str]]:
+    """(position, kind, body, byte order) of the blocks that begin inside a piece; a broken one is an error."""
+    buffer, order, begun = _Buffered(file, piece.start), orders[0], False
+    if piece.start:
+        order = _first_block(buffer, piece.end, orders)
+    while buffer.position < piece.end and buffer.need(1):
+        position, begun = buffer.position, True
+        size, order = _whole_block(buffer, order)
+        block = buffer.take(size)
+        yield position, struct.unpack(order + "I", block[:4])[0], block[8:-4], order
+    if not begun or not buffer.need(1):
+        return
+    # What follows begins in a later piece, which can't tell a block that the file cuts short.
+    _whole_block(buffer, order)
+    following = _Buffered(file, piece.end)
+    _first_block(following, buffer.position + 1, order)
+    if following.position != buffer.position:
+        raise RuntimeError(f"{piece.path}: pieces don't meet at byte {buffer.position}; read it with a piece of {piece.size} bytes")
+
+
+def _whole_block(buffer: _Buffered, order: str) -> tuple[int, str]:
+    """The length and byte order of the block that begins here, or an error that says why there is none."""
+    if not buffer.need(12):
+        raise ValueError("short block")
+    size, order = _block_size(buffer, 0, order)
+    if not size:
+        said = struct.unpack_from(order + "I", buffer.data, 4)[0]
+        whole = 12 <= said <= LONGEST_FRAME + 4096 and not said % 4 and buffer.need(said)
+        raise ValueError("block lengths differ" if whole else "block ends after the file")
+    return size, order
+
+
 def _pcapng_rows(file, piece: Piece) -> Iterator[tuple]:
-    buffer = _Buffered(file, 0)
-    position = 0
+    """Packets of a piece, by the sections and interfaces that stand before it and in it."""
+    position = piece.start
+    tables = piece.tables[: bisect.bisect_left([t[0] for t in piece.tables], piece.start)]
+    sections = [i for i, (_, _, kind, _) in enumerate(tables) if kind == SECTION]
+    order = tables[-1][1] if tables else "<"
 
     def blocks() -> Iterator[tuple[int, bytes, str]]:
         nonlocal position
-        order = "<"
-        while buffer.need(1):
-            position = buffer.position
-            if not buffer.need(12):
-                raise ValueError("short block")
-            if bytes(buffer.data[:4]) == PCAPNG_MAGIC:
-                order = "<" if bytes(buffer.data[8:12]) == b"\x4d\x3c\x2b\x1a" else ">"
-            kind, size = struct.unpack_from(order + "2I", buffer.data, 0)
-            if size < 12 or size % 4 or size > LONGEST_FRAME + 4096 or not buffer.need(size):
-                raise ValueError("block ends after the file")
-            block = buffer.take(size)
-            if struct.unpack(order + "I", block[-4:])[0] != size:
-                raise ValueError("block lengths differ")
-            yield kind, block[8:-4], order
+        for i, (_, its_order, kind, body) in enumerate(tables):
+            if kind == SECTION or sections and i > sections[-1]:
+                yield kind, body, its_order
+        for position, kind, body, its_order in _piece_blocks(file, piece, order):
+            yield kind, body, its_order
 
     try:
         for us, interface, link, cut, data in read_pcapng_blocks(blocks()):
@@ -168,19 +252,71 @@ def _pcapng_rows(file, piece: Piece) -> Iterator[tuple]:
         yield position, None, None, None, None, None, str(error)
 
 
-class FrameReader(DataSourceReader):
+def _is_pcapng(path: str) -> bool:
+    store, inside = _open(path)
+    with store.open_input_file(inside) as file:
+        return file.read(4) == PCAPNG_MAGIC
+
+
+class TableReader(DataSourceReader):
+    """Sections and interfaces of pcapng files; nothing else of them leaves the tasks."""
+
     def __init__(self, path: str, piece: int):
         self.path, self.piece = path, piece
 
     def partitions(self) -> list[Piece]:
-        out = []
+        files: dict[str, bool] = {}
+        pieces = _pieces(self.path, self.piece)
+        for piece in pieces:
+            if piece.path not in files:
+                files[piece.path] = _is_pcapng(piece.path)
+        return [piece for piece in pieces if files[piece.path]]
+
+    def read(self, piece: Piece | None) -> Iterator[pa.RecordBatch]:
+        if piece is None:  # Spark asks once where there are no pieces
+            return
+        store, inside = _open(piece.path)
+        rows = []
+        with store.open_input_file(inside) as file:
+            try:
+                for position, kind, body, order in _piece_blocks(file, piece, "<>"):
+                    if kind in (SECTION, INTERFACE):
+                        rows.append((piece.path, position, order, kind, body))
+            except (ValueError, struct.error):
+                pass  # the second pass says what is broken
+        if rows:
+            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[p.split()[0] for p in TABLE_FIELDS.split(", ")])
+
+
+class TableSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "capture_tables"
+
+    def schema(self) -> str:
+        return TABLE_FIELDS
+
+    def reader(self, schema) -> TableReader:
+        return TableReader(self.options["path"], int(self.options.get("piece", PIECE)))
+
+
+class FrameReader(DataSourceReader):
+    def __init__(self, path: str, piece: int, tables: dict | None):
+        self.path, self.piece, self.tables = path, piece, tables
+
+    def partitions(self) -> list[Piece]:
+        """Pieces of all files; pcapng files of which no tables are known are one piece each."""
+        out, seen = [], {}
         for piece in _pieces(self.path, self.piece):
-            store, inside = _open(piece.path)
-            if piece.start == 0:
-                with store.open_input_file(inside) as file:
-                    whole = file.read(4) == PCAPNG_MAGIC
-            if not whole or piece.start == 0:
-                out.append(Piece(piece.path, piece.start, piece.size if whole else piece.end, piece.size))
+            if piece.path not in seen:
+                seen[piece.path] = _is_pcapng(piece.path)
+            known = (self.tables or {}).get(piece.path)
+            if not seen[piece.path] or known is not None:
+                piece.tables = [(at, order, kind, base64.b64decode(body)) for at, order, kind, body in known or []]
+                out.append(piece)
+            elif piece.start == 0:
+                out.append(Piece(piece.path, 0, piece.size, piece.size))
         return out
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
@@ -212,7 +348,10 @@ class FrameReader(DataSourceReader):
 
 
 class FrameSource(DataSource):
-    """``spark.read.format("capture")``: frames of pcap and pcapng files at or below a path; option ``piece``: bytes of a piece."""
+    """``spark.read.format("capture")``: frames of pcap and pcapng files at or below a path.
+
+    Option ``piece``: bytes of a piece; ``tables``: what ``capture_tables`` found, as JSON, without which a pcapng file is one piece.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -222,7 +361,8 @@ class FrameSource(DataSource):
         return FRAME_FIELDS
 
     def reader(self, schema) -> FrameReader:
-        return FrameReader(self.options["path"], int(self.options.get("piece", PIECE)))
+        tables = self.options.get("tables")
+        return FrameReader(self.options["path"], int(self.options.get("piece", PIECE)), json.loads(tables) if tables else None)
 
 
 class UnitReader(DataSourceReader):
@@ -299,10 +439,27 @@ def _numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.withColumn("_in", inside).join(starts, [key, "split"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_start", "_in")
 
 
+def capture_tables(spark: SparkSession, path: str, piece: int = PIECE) -> dict[str, list[tuple]]:
+    """Sections and interfaces of the pcapng files at or below a path, by file, in order; the driver holds them."""
+    spark.dataSource.register(TableSource)
+    found = spark.read.format("capture_tables").option("piece", piece).load(path).limit(MOST_TABLES + 1).collect()
+    if len(found) > MOST_TABLES:
+        raise ValueError(f"more than {MOST_TABLES} sections and interfaces; read fewer files at once")
+    out: dict[str, list[tuple]] = {}
+    for row in sorted(found, key=lambda r: (r.capture, r.position)):
+        out.setdefault(row.capture, []).append((row.position, row.byte_order, row.kind, base64.b64encode(row.body).decode()))
+    return out
+
+
 def stream_frames(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
-    """Frames of captures with their numbers, in the form of ``captures.read_captures``; a broken file ends in a row with its error."""
+    """Frames of captures with their numbers, in the form of ``captures.read_captures``; a broken file ends in a row with its error.
+
+    Where there are pcapng files, their sections and interfaces are read at once.
+    """
     spark.dataSource.register(FrameSource)
-    rows = _numbered(spark.read.format("capture").option("piece", piece).load(path), "capture", "_number")
+    tables = capture_tables(spark, path, piece)
+    reader = spark.read.format("capture").option("piece", piece)
+    rows = _numbered((reader.option("tables", json.dumps(tables)) if tables else reader).load(path), "capture", "_number")
     number = F.when(F.col("error").isNull(), F.col("_number")).alias("number")
     return rows.select("capture", number, "ts_us", "interface", "link_type", "truncated", "data", "error")
 
