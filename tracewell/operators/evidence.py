@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.intervals import points_inside
+
 
 def packets_of_issues(issues: DataFrame, packets: DataFrame, flow: list[str], carry: list[str]) -> DataFrame:
     """Issues with the last packet of their RTP time and sequence number, if there is one."""
@@ -19,9 +21,8 @@ def packets_of_units(units: DataFrame, packets: DataFrame, flow: list[str], unit
 
     Both use the unfolded sequence number ``ext``, so that ranges don't wrap.
     """
-    sides = units.select(*flow, "rtp_ts", unit, "first_seq", "last_seq")
-    joined = sides.join(packets.select(*flow, "rtp_ts", "ext", "number"), [*flow, "rtp_ts"])
-    return joined.filter("ext between first_seq and last_seq").select(*flow, unit, "ext", "number")
+    found = points_inside(units, packets, [*flow, "rtp_ts"], [unit], "first_seq", "last_seq", "ext", ["ext", "number"])
+    return found.select(*flow, unit, "ext", "number")
 
 
 def units_of_packet(pairs: DataFrame, number: Column) -> DataFrame:
@@ -96,10 +97,11 @@ def frame_rates(streams: DataFrame) -> DataFrame:
 
 
 def distinct_warnings(rows: DataFrame, flow: list[str], order: str, text: str, most: int = 128) -> DataFrame:
-    """Each flow's warnings in the order they first came, each once; a report shows the first ``most``."""
+    """Each flow's first ``most`` warnings in the order they first came, each once, and whether there are more."""
     first = rows.groupBy(*flow, text).agg(F.min(order).alias("_at"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("_at", text))), lambda x: x[text])
-    return first.groupBy(*flow).agg(F.slice(listed, 1, most).alias("warnings"), (F.count(F.lit(1)) > most).alias("more"))
+    ranked = first.withColumn("_rank", F.row_number().over(Window.partitionBy(*flow).orderBy("_at", text))).filter(F.col("_rank") <= most + 1)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_rank", text))), lambda x: x[text])
+    return ranked.groupBy(*flow).agg(F.slice(listed, 1, most).alias("warnings"), (F.max("_rank") > most).alias("more"))
 
 
 def requires_partial(errors: Column, begins: list[str], contains: Column | None = None) -> Column:

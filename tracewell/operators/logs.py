@@ -74,13 +74,16 @@ def decode_issues(lines: DataFrame, key: list[str], order: str, line: str) -> Da
 
 
 def issue_summary(issues: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Per kind: how often it occurs, its first line, and the distinct frames near it (a report shows the first 256)."""
+    """Per kind: how often it occurs (n), its first line (example), the first 256 distinct frames near it, and whether there are more (more_frames)."""
     frames = issues.filter("frame is not null").groupBy(*key, "kind", "frame").agg(F.min(order).alias("_at"))
-    listed = frames.groupBy(*key, "kind").agg(
-        F.slice(F.transform(F.sort_array(F.collect_list(F.struct("_at", "frame"))), lambda x: x["frame"]), 1, SHOWN_FRAMES).alias("frames")
+    w = Window.partitionBy(*key, "kind").orderBy("_at", "frame")
+    ranked = frames.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= SHOWN_FRAMES + 1)
+    listed = ranked.groupBy(*key, "kind").agg(
+        F.slice(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "frame"))), lambda x: x["frame"]), 1, SHOWN_FRAMES).alias("frames"),
+        (F.max("_rank") > SHOWN_FRAMES).alias("more_frames"),
     )
     counted = issues.groupBy(*key, "kind").agg(F.count(F.lit(1)).alias("n"), F.min_by("example", order).alias("example"))
-    return counted.join(listed, [*key, "kind"], "left")
+    return counted.join(listed, [*key, "kind"], "left").withColumn("more_frames", F.coalesce("more_frames", F.lit(False)))
 
 
 def mentions(issues: Column, needles: list[str]) -> Column:

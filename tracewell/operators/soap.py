@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def without_prefixes(xml: Column) -> Column:
-    """XML without namespaces; null where it can't be read."""
-    plain = F.regexp_replace(xml, r"""\s+xmlns(?::[\w.-]+)?\s*=\s*(?:"[^"]*"|'[^']*')""", "")
+    """XML without namespaces and comments; null where it can't be read."""
+    plain = F.regexp_replace(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), r"""\s+xmlns(?::[\w.-]+)?\s*=\s*(?:"[^"]*"|'[^']*')""", "")
     plain = F.regexp_replace(plain, r"(</?)[A-Za-z_][\w.-]*:", "$1")
     return F.regexp_replace(plain, r"(\s)[A-Za-z_][\w.-]*:([A-Za-z_][\w.-]*\s*=)", "$1$2")
 

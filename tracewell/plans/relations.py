@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import cents, micros
+from tracewell.operators import intervals
 from tracewell.operators import joins as J
 from tracewell.operators import rollups as R
 from tracewell.operators import sequence as S
@@ -232,17 +233,9 @@ def q25(spark, sf_dir):
     rows = events(spark, sf_dir)
     quiet = S.runs(rows, ["user_id"], ["event_id"], F.col("size") < 2000, "us").filter("length >= 2")
     spans = quiet.select("user_id", F.col("first").alias("lo"), F.col("last").alias("hi"))
-    # Intervals and events meet by user and day, so that a long flow is never paired as a whole.
-    day = 24 * HOUR
-    days = spans.withColumn(
-        "day", F.explode(F.sequence(F.floor((F.col("lo") - HOUR) / day), F.floor((F.col("hi") + HOUR) / day)))
-    )
-    hit = days.join(rows.withColumn("day", F.floor(F.col("us") / day)), ["user_id", "day"]).filter(
-        (F.col("us") >= F.col("lo") - HOUR) & (F.col("us") <= F.col("hi") + HOUR)
-    )
-    return hit.groupBy("user_id", "lo", "hi").agg(
-        F.min("event_id").alias("first_packet"), F.max("event_id").alias("last_packet"), F.count(F.lit(1)).alias("packets")
-    )
+    wide = spans.withColumns({"start": F.col("lo") - HOUR, "end": F.col("hi") + HOUR})
+    found = intervals.first_and_last(wide, rows, ["user_id"], ["lo", "hi"], "start", "end", "us", "event_id")
+    return found.filter("points > 0").select("user_id", "lo", "hi", F.col("first").alias("first_packet"), F.col("last").alias("last_packet"), F.col("points").alias("packets"))
 
 
 @query(
