@@ -75,15 +75,17 @@ def decode_issues(lines: DataFrame, key: list[str], order: str, line: str) -> Da
 
 def issue_summary(issues: DataFrame, key: list[str], order: str) -> DataFrame:
     """Per kind: how often it occurs (n), its first line (example), the first 256 distinct frames near it, and whether there are more (more_frames)."""
-    frames = issues.filter("frame is not null").groupBy(*key, "kind", "frame").agg(F.min(order).alias("_at"))
-    w = Window.partitionBy(*key, "kind").orderBy("_at", "frame")
-    ranked = frames.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= SHOWN_FRAMES + 1)
-    listed = ranked.groupBy(*key, "kind").agg(
-        F.slice(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "frame"))), lambda x: x["frame"]), 1, SHOWN_FRAMES).alias("frames"),
-        (F.max("_rank") > SHOWN_FRAMES).alias("more_frames"),
-    )
-    counted = issues.groupBy(*key, "kind").agg(F.count(F.lit(1)).alias("n"), F.min_by("example", order).alias("example"))
-    return counted.join(listed, [*key, "kind"], "left").withColumn("more_frames", F.coalesce("more_frames", F.lit(False)))
+    # One dealing by key and three groupings on it: kinds and frames of many logs would be a join's large side on both sides.
+    at = F.min(order).alias("_at")
+    frames = issues.groupBy(*key, "kind", "frame").agg(at, F.min_by("example", order).alias("example"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*key, "kind").orderBy(F.col("frame").isNull(), "_at", "frame")
+    ranked = frames.withColumn("_rank", F.when(F.col("frame").isNotNull(), F.row_number().over(w)))
+    shown = F.when(F.col("_rank") <= SHOWN_FRAMES, F.struct("_rank", "frame"))
+    listed = F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["frame"])
+    return ranked.groupBy(*key, "kind").agg(
+        F.sum("n").alias("n"), F.min_by("example", "_at").alias("example"), F.when(F.count("_rank") > 0, listed).alias("frames"),
+        F.coalesce(F.max("_rank") > SHOWN_FRAMES, F.lit(False)).alias("more_frames"),
+    )
 
 
 def mentions(issues: Column, needles: list[str]) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import logs, packets, rtcp, rtsp, sip, soap
-from tracewell.queries import query, table
+from tracewell.queries import dealt, query, table
 from tracewell.rules import engine
 
 
@@ -77,7 +78,7 @@ _LOG = [
 
 def _log(spark, sf_dir):
     lines = F.array(*[F.concat(*[p for part in text.split("{n}") for p in (F.lit(part), F.col("p_partkey"))][:-1]) for text in _LOG])
-    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(lines).alias("no", "line"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.posexplode(lines).alias("no", "line"))
 
 
 @query(
@@ -103,8 +104,8 @@ FROM part, (VALUES ('missing_pps', 1, 1), ('macroblock_error', 1, 1), ('black_se
 def q126(spark, sf_dir):
     found = logs.issue_summary(logs.decode_issues(_log(spark, sf_dir), ["p_partkey"], "no", "line"), ["p_partkey"], "no")
     one = F.array(F.struct("kind", "n", "example"))
-    whole = found.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("kind", "n", "example"))).alias("issues"))
-    joined = found.withColumn("mentioned", logs.mentions(one, ["MB", "reference"])).join(whole, "p_partkey")
+    whole = F.array_sort(F.collect_list(F.struct("kind", "n", "example")).over(Window.partitionBy("p_partkey")))
+    joined = found.withColumn("mentioned", logs.mentions(one, ["MB", "reference"])).withColumn("issues", whole)
     return joined.select(
         "p_partkey", "kind", "n", F.size("frames").alias("n_frames"), (F.col("mentioned") & (F.col("kind") != "missing_pps")).alias("mentioned"),
         logs.mentions(F.col("issues"), ["reference picture"]).alias("any_reference"), F.array_join(logs.evidence_of(F.col("issues"), ["decoding mb"]), ",").alias("evidence"),

@@ -26,4 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt by their key over as many tasks as a shuffle has: a small file is read by one task, however much is made of each row."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 from tracewell.plans import capture, diagnosis, flows, media, relations, reports, signalling, signals, values, wire  # noqa: E402,F401
