@@ -25,3 +25,18 @@ def test_issues_of_a_log_with_many_frames(spark):
     seen = list(dict.fromkeys(f for _, _, _, _, f in rows[:1000] if f is not None))
     assert (found["a"].n, found["a"].example, found["a"].frames, found["a"].more_frames) == (1000, "line 0", seen[:256], True)
     assert (found["b"].n, found["b"].example, found["b"].frames, found["b"].more_frames) == (1, "x", None, False)
+
+
+def test_sources_of_announced_media_are_counted_once(spark):
+    from tracewell.operators import sip
+
+    schema = "capture string, call_id string, call long, index int, address string, port int, payload_types array<bigint>"
+    offers = [("c", f"call-{i}", i, 0, "10.0.0.1", 4000, [0, 96]) for i in range(3)] + [("c", "h", 9, 0, "0.0.0.0", 4000, [0]), ("c", "n", 10, 0, "10.0.0.2", 4000, None)]
+    packets = [("c", "10.0.0.1", 4000, pt, n, n, ssrc) for n, (pt, ssrc) in enumerate([(0, 5), (96, 5), (0, 6), (0, 5), (8, 7)])]
+    rtp = spark.createDataFrame(packets, "capture string, dst_ip string, dst_port int, pt long, number long, ts_us long, ssrc long")
+    given = spark.createDataFrame(offers, schema)
+    flows = sip.media_flows(given, rtp, ["call"])
+    found = {r.call: (r.packets, r.first_packet, r.last_packet, r.sources, r.quality, r.shared) for r in flows.collect()}
+    assert found == {**{i: (4, 0, 3, 2, "candidate", True) for i in range(3)}, 9: (0, None, None, 0, "hold", False), 10: (0, None, None, 0, "none", False)}
+    listed = sip.media_sources(given, rtp).collect()
+    assert sorted((r.dst_ip, r.dst_port, r.payload_types, r.ssrc) for r in listed) == [("10.0.0.1", 4000, [0, 96], 5), ("10.0.0.1", 4000, [0, 96], 6)]

@@ -133,29 +133,51 @@ def findings(rows: DataFrame) -> DataFrame:
     return lacking.unionByName(fell)
 
 
+#: What announced media and packets are joined by, and the form of an address.
+_ENDPOINT = ["capture", "dst_ip", "dst_port"]
+_ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*)$"
+
+
+def _targets(offers: DataFrame) -> DataFrame:
+    """Announced media with the destination of their packets: dst_ip (null if the address is none) and dst_port."""
+    from tracewell.functions.text import unspecified
+
+    usable = F.coalesce(F.col("address").rlike(_ADDRESS) & ~unspecified(F.col("address")), F.lit(False))
+    return offers.withColumn("dst_ip", F.when(usable, F.col("address"))).withColumn("dst_port", F.col("port"))
+
+
+def media_sources(offers: DataFrame, rtp: DataFrame) -> DataFrame:
+    """The ssrcs that reached announced media: capture, dst_ip, dst_port, payload_types, ssrc.
+
+    One row per ssrc and announced endpoint with its payload types, however many
+    calls announce them: a list for each call would grow with calls times sources.
+    """
+    wanted = _targets(offers).filter("dst_ip is not null").select(*_ENDPOINT, "payload_types").distinct()
+    seen = rtp.select(*_ENDPOINT, "pt", "ssrc").distinct()
+    return seen.join(wanted.withColumn("pt", F.explode("payload_types")), [*_ENDPOINT, "pt"]).select(*_ENDPOINT, "payload_types", "ssrc").distinct()
+
+
 def media_flows(offers: DataFrame, rtp: DataFrame, key: list[str]) -> DataFrame:
     """Announced media (key, call_id, index, address, port, payload_types) with the RTP packets that reached them.
 
     Packets count if their destination and payload type are those announced.
-    Columns: packets, first and last packet and time, ssrcs, quality: hold (an
-    address of zeros), no_address, candidate or none; shared: other calls
-    announce the endpoint too.
+    Columns: packets, first and last packet and time, sources (how many ssrcs;
+    ``media_sources`` lists them), quality: hold (an address of zeros),
+    no_address, candidate or none; shared: other calls announce the endpoint too.
     """
     from tracewell.functions.text import unspecified
 
     flows = rtp.groupBy("capture", "dst_ip", "dst_port", "pt").agg(
-        F.count(F.lit(1)).alias("n"), F.min("number").alias("a"), F.max("number").alias("b"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"),
-        F.collect_set("ssrc").alias("ssrcs"),
-    )
-    is_address = F.col("address").rlike(r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*)$")
-    place = ["capture", *key, "call_id", "index", "address", "port"]
-    exploded = offers.withColumn("pt", F.explode_outer("payload_types"))
-    usable = F.coalesce(is_address & ~unspecified(F.col("address")), F.lit(False))
-    target = exploded.withColumn("dst_ip", F.when(usable, F.col("address"))).withColumn("dst_port", F.col("port"))
-    joined = target.join(flows, ["capture", "dst_ip", "dst_port", "pt"], "left").groupBy(*place).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("packets"), F.min("a").alias("first_packet"), F.max("b").alias("last_packet"), F.min("t0").alias("first_us"),
-        F.max("t1").alias("last_us"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ssrcs")))).alias("ssrcs"),
+        F.count(F.lit(1)).alias("n"), F.min("number").alias("a"), F.max("number").alias("b"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1")
+    )
+    place = ["capture", *key, "call_id", "index", "address", "port", "payload_types"]
+    target = _targets(offers)
+    sums = target.withColumn("pt", F.explode_outer("payload_types")).join(flows, [*_ENDPOINT, "pt"], "left").groupBy(*place, "dst_ip", "dst_port").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("packets"), F.min("a").alias("first_packet"), F.max("b").alias("last_packet"), F.min("t0").alias("first_us"), F.max("t1").alias("last_us"),
     )
+    counts = media_sources(offers, rtp).groupBy(*_ENDPOINT, "payload_types").agg(F.count(F.lit(1)).alias("sources"))
+    joined = sums.join(counts, [*_ENDPOINT, "payload_types"], "left").drop("dst_ip", "dst_port", "payload_types").withColumn("sources", F.coalesce("sources", F.lit(0)))
+    is_address = F.col("address").rlike(_ADDRESS)
     calls = joined.groupBy("capture", "address", "port").agg((F.count_distinct("call_id") > 1).alias("shared"))
     quality = F.when(~F.coalesce(is_address, F.lit(False)), "no_address").when(unspecified(F.col("address")), "hold").when(F.col("packets") > 0, "candidate").otherwise("none")
     return joined.join(calls, ["capture", "address", "port"]).withColumn("quality", quality)

@@ -67,7 +67,7 @@ def q124(spark, sf_dir):
         F.concat(F.lit("10.0.0."), F.col("user_id") % 7).alias("dst_ip"), F.lit(4000).alias("dst_port"), F.lit("udp").alias("proto"), packet.alias("payload"),
     )
     found = sip.media_flows(offers, packets.rtp_packets(segments), ["call"])
-    return found.select("call", "packets", "first_packet", "last_packet", F.greatest(F.size("ssrcs"), F.lit(0)).alias("sources"), "quality", "shared")
+    return found.select("call", "packets", "first_packet", "last_packet", "sources", "quality", "shared")
 
 
 _LOG = [
