@@ -152,7 +152,10 @@ def answers(offers: DataFrame, replies: DataFrame, key: list[str]) -> DataFrame:
 
 
 def selected_tracks(sections: DataFrame, key: list[str]) -> DataFrame:
-    """The first payload type of each audio or video section whose codec is analysed, mapped or static."""
+    """The first payload type of each audio or video section whose codec is analysed, mapped or static.
+
+    ``key`` may name more columns of the sections, which are kept.
+    """
     mapped = lambda p: F.get(F.filter("codecs", lambda c: c["payload_type"] == p), 0)
     of = lambda p: F.struct(
         p.alias("payload_type"),
