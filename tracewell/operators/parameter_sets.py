@@ -285,6 +285,7 @@ def type_name(kind: Column, codec: str) -> Column:
 
 def changed_fields(sets: DataFrame, flow: list[str], order: str, fields: list[str]) -> DataFrame:
     """Parameter sets that differ from the one before with their id: the names of the fields that changed."""
+    sets = sets.select(*dict.fromkeys([*flow, order, "unit", "id", *fields]))
     w = Window.partitionBy(*flow, "unit", "id").orderBy(order)
     moved = [F.when(~F.col(f).eqNullSafe(F.lag(f).over(w)) & F.lag(order).over(w).isNotNull(), F.lit(f)) for f in fields]
     return sets.withColumn("changed", F.array_compact(F.array(*moved))).filter(F.size("changed") > 0).select(*flow, order, "unit", "id", "changed")
@@ -309,10 +310,12 @@ def stream_summary(sets: DataFrame, flow: list[str], order: str, codec: str) ->
 
 def dangling(sets: DataFrame, flow: list[str], order: str) -> DataFrame:
     """Picture sets whose sequence set, and slices whose picture set, did not stand before them."""
-    seen = lambda unit, key: F.min(F.when(F.col("unit") == unit, F.col(order))).over(Window.partitionBy(*flow, key))
-    rows = sets.withColumn("_sps_key", F.when(F.col("unit") == "sps", F.col("id")).when(F.col("unit") == "pps", F.col("sps_id")))
-    rows = rows.withColumn("_pps_key", F.when(F.col("unit") == "pps", F.col("id")).when(F.col("unit") == "slice", F.col("pps_id")))
-    rows = rows.withColumn("_sps_at", seen("sps", "_sps_key")).withColumn("_pps_at", seen("pps", "_pps_key"))
+    # The first set of each number is a small table; a window would put all rows of a number into one task.
+    first = lambda unit, key, at: sets.filter(F.col("unit") == unit).groupBy(*flow, F.col("id").alias(key)).agg(F.min(order).alias(at))
+    rows = sets.filter(F.col("unit").isin("pps", "slice")).select(
+        *flow, order, "unit", F.when(F.col("unit") == "pps", F.col("sps_id")).alias("_sps_key"), F.when(F.col("unit") == "slice", F.col("pps_id")).alias("_pps_key")
+    )
+    rows = rows.join(first("sps", "_sps_key", "_sps_at"), [*flow, "_sps_key"], "left").join(first("pps", "_pps_key", "_pps_at"), [*flow, "_pps_key"], "left")
     late = lambda unit, at: (F.col("unit") == unit) & (F.col(at).isNull() | (F.col(at) > F.col(order)))
     missing = F.when(late("pps", "_sps_at"), F.lit("sps")).when(late("slice", "_pps_at"), F.lit("pps"))
     return rows.withColumn("missing", missing).filter("missing is not null").select(*flow, order, "unit", "missing")
