@@ -11,7 +11,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["q126_issue_evidence"])
+@pytest.mark.parametrize("name", ["q126_issue_evidence", "q71_sdp_sections", "q87_stream_summary"])
 def test_nothing_of_the_tables_size_is_sent_to_the_driver(spark, name):
     assert "Broadcast" not in plan_of(QUERIES[name](spark, DATA))
 
@@ -40,3 +40,33 @@ def test_sources_of_announced_media_are_counted_once(spark):
     assert found == {**{i: (4, 0, 3, 2, "candidate", True) for i in range(3)}, 9: (0, None, None, 0, "hold", False), 10: (0, None, None, 0, "none", False)}
     listed = sip.media_sources(given, rtp).collect()
     assert sorted((r.dst_ip, r.dst_port, r.payload_types, r.ssrc) for r in listed) == [("10.0.0.1", 4000, [0, 96], 5), ("10.0.0.1", 4000, [0, 96], 6)]
+
+
+@pytest.mark.parametrize("name", ["q82_h264_parameters", "q83_h265_parameters", "q130_frame_documents", "q71_sdp_sections", "q86_timing_messages"])
+def test_rows_of_a_small_file_are_dealt_before_much_is_made_of_them(spark, name):
+    plan = plan_of(QUERIES[name](spark, DATA))
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_bits_are_packed_to_whole_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.plans.media import packed
+
+    texts = ["", "1", "0" * 7, "01" * 4, "1" * 31, "0000000" + "1" * 32, "01" * 150, "0" * 30]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packed(F.col("t")).alias("b")).collect()
+    for r in rows:
+        whole = r.t + "1"
+        whole += "0" * (-len(whole) % 8)
+        plain = bytes(int(whole[i : i + 8], 2) for i in range(0, len(whole), 8))
+        assert bytes(r.b) == plain.replace(b"\0\0\0", b"\0\0\3\0"), r.t
+
+
+def test_dangling_sets_are_found_without_a_window(spark):
+    from tracewell.operators import parameter_sets
+
+    rows = [("f", 1, "pps", 7, 3, None), ("f", 2, "sps", 3, None, None), ("f", 3, "pps", 8, 3, None), ("f", 4, "slice", None, None, 8), ("f", 5, "slice", None, None, 9), ("g", 6, "slice", None, None, 8), ("f", 7, "pps", 9, None, None)]
+    sets = spark.createDataFrame(rows, "flow string, at long, unit string, id long, sps_id long, pps_id long")
+    found = parameter_sets.dangling(sets, ["flow"], "at")
+    assert sorted((r.flow, r.at, r.unit, r.missing) for r in found.collect()) == [("f", 1, "pps", "sps"), ("f", 5, "slice", "pps"), ("f", 7, "pps", "sps"), ("g", 6, "slice", "pps")]
+    assert "Window" not in plan_of(found)

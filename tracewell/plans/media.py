@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.scalar import cents, micros
 from tracewell.operators import audio, parameter_sets, sync, video
 from tracewell.operators.rtcp import bytes_of
-from tracewell.queries import query, table
+from tracewell.queries import dealt, query, table
 
 
 def u(value, n: int) -> Column:
@@ -26,9 +26,10 @@ def ue(value) -> Column:
 
 def packed(*bits: Column) -> Column:
     """Bits of text as bytes, ended by a one and zeros, with escapes."""
-    text = F.concat(*bits, F.lit("1"))
-    text = F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), F.lit("0"))
-    digits = F.transform(F.sequence(F.lit(0), (F.length(text) / 4).cast("int") - 1), lambda i: F.conv(F.substring(text, i * 4 + 1, F.lit(4)), 2, 16))
+    # Seven more zeros fill the last byte; what is left of them is no whole byte and goes. No part of the text is used twice,
+    # as Spark would put it together again for each use.
+    four = F.regexp_extract_all(F.concat(*bits, F.lit("10000000")), F.lit("(?:[01]{8}){1,4}"), F.lit(0))
+    digits = F.transform(four, lambda b: F.lpad(F.conv(b, 2, 16), (F.length(b) / 4).cast("int"), F.lit("0")))
     return parameter_sets.with_escapes(F.unhex(F.array_join(digits, "")))
 
 
@@ -36,6 +37,10 @@ def _unit(header: int | Column, body: Column) -> Column:
     return F.concat(bytes_of(header if isinstance(header, Column) else F.lit(header), 1), body)
 
 
+def _parts(spark, sf_dir):
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+
+
 def _h264_units(spark, sf_dir):
     """Parts as four units each: sequence and picture parameters, a slice and a timing message."""
     size, k = F.col("p_size"), F.col("p_partkey")
@@ -50,7 +55,7 @@ def _h264_units(spark, sf_dir):
     piece = packed(ue(size * 3), ue(7), ue(k % 7), u(5, 4))
     message = F.concat(F.lit(bytearray([1, 2])), F.unhex(F.lpad(F.hex((size % 256) * 256 + (k % 64) * 4), 4, "0")), F.lit(bytearray([0x80])))
     units = F.array(*[F.struct(F.lit(i).alias("i"), c.alias("data")) for i, c in enumerate((_unit(0x67, sps), _unit(0x68, pps), _unit(0x65, piece), _unit(0x06, message)))])
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.inline(units))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("part"), F.inline(units))
 
 
 @query(
@@ -92,7 +97,7 @@ def q83(spark, sf_dir):
     )
     header = lambda kind, body: F.concat(F.lit(bytearray([kind << 1, 1])), body)
     units = (header(33, sps), header(34, packed(ue(k % 7), ue(k % 4))), header(19, packed(F.lit("10"), ue(k % 7))))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.explode(F.array(*units)).alias("data"))
+    rows = _parts(spark, sf_dir).select(F.col("p_partkey").alias("part"), F.explode(F.array(*units)).alias("data"))
     found = parameter_sets.parameters(rows, ["part"], "h265")
     names = ["id", "sps_id", "pps_id", "width", "height", "profile_idc", "level_idc", "sub_layers", "vps_id", "bit_depth_luma", "buffered_frames", "reorder_frames"]
     return found.select("part", "unit", *names, "first_slice")
@@ -154,7 +159,8 @@ def q87(spark, sf_dir):
     named = parameter_sets.inspected(units, ["part", "i"], "h264").groupBy("part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), ",").alias("names")
     )
-    return summary.join(named, "part").select("part", "profile", "level_idc", "width", "frame_rate", "names")
+    # Both sides grow with the parts: sorted by part they meet, neither is sent to the driver.
+    return summary.join(named.hint("merge"), "part").select("part", "profile", "level_idc", "width", "frame_rate", "names")
 
 
 def _fragments(spark, sf_dir, h265: bool):
