@@ -70,3 +70,31 @@ def test_dangling_sets_are_found_without_a_window(spark):
     found = parameter_sets.dangling(sets, ["flow"], "at")
     assert sorted((r.flow, r.at, r.unit, r.missing) for r in found.collect()) == [("f", 1, "pps", "sps"), ("f", 5, "slice", "pps"), ("f", 7, "pps", "sps"), ("g", 6, "slice", "pps")]
     assert "Window" not in plan_of(found)
+
+
+def test_users_beyond_16_bits_have_streams_of_their_own(spark, tmp_path):
+    import duckdb
+
+    from tracewell.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_milliseconds(20 * i) AS ts, [1, 70000, 70001][1 + i % 3] AS user_id, 'view' AS event_type, 1.0 AS value, '' AS props
+                    FROM range(1, 240) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    found = QUERIES["q140_capture_findings"](spark, str(tmp_path)).collect()
+    wanted = con.execute("SELECT stream_id, rule_id, severity, confidence FROM (" + ORACLES["q140_capture_findings"] + ")").fetchall()
+    assert sorted((r.stream_id, r.rule_id, r.severity, r.confidence) for r in found) == sorted(wanted)
+
+
+def test_events_of_a_user_may_be_over_32767_apart(spark, tmp_path):
+    import duckdb
+
+    from tracewell.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT 40000 * i + i % 3 AS event_id, TIMESTAMP '2024-01-01' + to_milliseconds(700 * i) AS ts, i % 2 AS user_id, ['view', 'purchase'][1 + i % 5 // 4] AS event_type FROM range(40) r(i))
+                    TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    wanted = con.execute(ORACLES["q62_rtp_statistics"])
+    names = [d[0] for d in wanted.description]
+    assert sorted(tuple(r) for r in QUERIES["q62_rtp_statistics"](spark, str(tmp_path)).select(*names).collect()) == sorted(wanted.fetchall())

@@ -110,7 +110,7 @@ FROM k JOIN r ON CASE rule_id WHEN 'RTP-015' THEN gaps > 0 WHEN 'RTP-016' THEN g
 """,
 )
 def q140(spark, sf_dir):
-    """Events as a capture: each user is a stream of PCMU, one event in twenty got lost, users with even numbers are silent."""
+    """Events as a capture: each user is a stream of PCMU between two ports of its own, one event in twenty got lost, users with even numbers are silent."""
     number = F.col("event_id")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     rows = table(spark, sf_dir, "events").withColumn("i", place.cast("bigint")).filter(number % 20 > 0)
@@ -118,6 +118,6 @@ def q140(spark, sf_dir):
     packet = rtcp.encode_rtp(F.lit(0), F.lit(False), F.col("i") % 65536, F.col("i") * 160, F.col("user_id") + 7, sound)
     frames = rows.select(
         F.lit("events").alias("capture"), number.alias("number"), micros("ts").alias("ts_us"), F.lit("0").alias("interface"), F.lit(ETHERNET).alias("link_type"), F.lit(False).alias("truncated"),
-        datagram(packet, F.lit(5004), 10_000 + F.col("user_id")).alias("data"), F.lit(None).cast("string").alias("error"),
+        datagram(packet, 5004 + F.floor(F.col("user_id") / 50_000), 10_000 + F.col("user_id") % 50_000).alias("data"), F.lit(None).cast("string").alias("error"),
     )
     return facts.capture_findings(frames).select("stream_id", "rule_id", "severity", "confidence")
