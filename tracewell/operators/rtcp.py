@@ -21,12 +21,16 @@ def bytes_of(value: Column, size: int) -> Column:
     return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * size, "0"))
 
 
-def encode_rtp(payload_type: Column, marker: Column, seq: Column, rtp_ts: Column, ssrc: Column, payload: Column) -> Column:
-    """An RTP packet without contributing sources, extension and padding."""
+#: Fixed value: the profile of a header extension that holds how often a packet's sequence number has begun again.
+ROLLOVER = 0x524F
+
+
+def encode_rtp(payload_type: Column, marker: Column, seq: Column, rtp_ts: Column, ssrc: Column, payload: Column, rollover: Column | None = None) -> Column:
+    """An RTP packet without contributing sources and padding; with an extension if its ``rollover`` count is given."""
     second = F.when(marker, 128).otherwise(0) + payload_type
-    return F.concat(
-        F.lit(bytearray(b"\x80")), bytes_of(second, 1), bytes_of(seq % 65536, 2), bytes_of(rtp_ts, 4), bytes_of(ssrc, 4), payload
-    )
+    extension = [] if rollover is None else [bytes_of(F.lit(ROLLOVER), 2), bytes_of(F.lit(1), 2), bytes_of(rollover, 4)]
+    first = F.lit(bytearray(b"\x80" if rollover is None else b"\x90"))
+    return F.concat(first, bytes_of(second, 1), bytes_of(seq % 65536, 2), bytes_of(rtp_ts, 4), bytes_of(ssrc, 4), *extension, payload)
 
 
 def encode_sender_report(
