@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -91,6 +92,25 @@ def test_pieces_leave_the_caches_and_come_back(monkeypatch):
         assert list(struct.unpack(f"<{len(encoder.text(text)) // 4}I", encoder.text(text))) == encode(text)[:-1]
 
 
+def test_stretches_of_many_texts_are_encoded_together():
+    random.seed(9)
+    parts = ["a", "b1", "é", "漢", "🙂", "½", "'s", "'", "!", "***", ".a", "ö!", "<|endoftext|>", "\0", " ", "  ", "\n", "\n\n", "\t", "\r\n"]
+    parts += ["\xa0", "\x85", "\u3000", "\x1c", "\u180e", "\u200b", "\ufeff", "\x0b"]
+    texts = [None, *["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(5000)]]
+    words = [" ".join(f"w{random.randrange(10**6)}x," for _ in range(50)) for _ in range(400)]
+    with open(TOKENIZER, "rb") as file:
+        data = file.read()
+    encode, encoder, calls = library(), packing.Ids(data, PATTERN), []
+    real = encoder.library
+    encoder.library = lambda text: calls.append(text) or real(text)
+    found = list(encoder.texts(pa.array(words)))
+    assert len(calls) <= 4  # one for each piece before
+    found += encoder.texts(pa.array(texts))
+    found += packing.Ids(data, r"[\s\S]+").texts(pa.array(texts[:100]))
+    wanted = [encode(text)[:-1] for text in [*words, *texts, *texts[:100]]]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in found] == wanted
+
+
 def test_query_over_the_documents(spark):
     sf_dir = "/root/testdata/sf0.001"
     documents = [(r.doc_id, r.text) for r in read(spark, sf_dir, "documents").select("doc_id", "text").collect()]

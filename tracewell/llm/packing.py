@@ -10,24 +10,40 @@ a time.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
+from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tracewell.llm.bpe import WHITE
 from tracewell.llm.common import cut, quoted
 
 WINDOW = 2048
 #: Open windows of a partition, and partitions whose leftovers are merged by one task: at most 1,024 windows.
 OPEN, TOGETHER = 16, 64
-#: Pieces of text in each of a worker's two caches, and the longest one kept.
-CACHED, LONGEST = 200_000, 64
+#: White space whose ids a worker keeps: stretches, and the longest one.
+CACHED, LONGEST = 10_000, 64
+#: Bytes of texts whose equal stretches are encoded once, and of stretches that the library gets in one call.
+LOOKED_UP, AT_ONCE = 1 << 25, 1 << 17
+#: Cuts texts into stretches: visible characters with the space before them, and white space; in white space that no space
+#: ends, the last character before visible ones is a stretch of its own. Common letters and digits are cut from ASCII symbols
+#: beside them, but for apostrophes.
+MARK = "\0"
+_SPACE = WHITE.encode().decode("unicode_escape")
+LAST_SPACE = f"([{_SPACE}])([{_SPACE.replace(' ', '')}])([^{_SPACE}])"
+VISIBLE = rf" ?[^{_SPACE}\x00]+"
+_WORD, _SYMBOL = r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])", r"([!-&(-/:-@\[-`{-~])"
+BESIDE = [_WORD + _SYMBOL, _SYMBOL + _WORD]
 ROWS = 256
 TOKEN = 4  # bytes of an id
 
@@ -35,32 +51,94 @@ TOKEN = 4  # bytes of an id
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    Each match of ``pattern``, which must split as the tokenizer does itself,
-    is encoded by the tokenizer once as long as it stays in the caches. Strings
-    of special tokens in a text are ordinary text.
+    Of many texts, each stretch is encoded by the tokenizer once: stretches are
+    found and numbered by Arrow, and a call of the library gets many of them, as
+    the lines of one text. With a ``pattern``, by which the tokenizer must split,
+    other than that of public_tokenizers, texts are encoded whole, as where it
+    isn't known that stretches are encoded for themselves. Strings of special
+    tokens are ordinary text.
     """
 
     def __init__(self, data: bytes, pattern: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.feed = self.library("\n")
+        self.cuts = pattern == PATTERN and len(self.feed) == 1
+        self.blanks: dict[str, np.ndarray] = {}
 
-    def piece(self, text: str) -> bytes:
-        ids = self.young.get(text) or self.old.get(text)
+    def library(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
+
+    def blank(self, text: str) -> np.ndarray:
+        ids = self.blanks.get(text)
         if ids is None:
-            numbers = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-            ids = numbers.tobytes()
-        if len(text) <= LONGEST:
-            if len(self.young) >= CACHED:
-                self.young, self.old = {}, self.young
-            self.young[text] = ids
+            ids = self.library(text)
+            if len(self.blanks) >= CACHED:
+                self.blanks.clear()
+            if len(text) <= LONGEST:
+                self.blanks[text] = ids
         return ids
 
+    def lines(self, visible: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of visible stretches, one array for many, each stretch followed by a line feed's id."""
+        sizes = np.cumsum(pc.binary_length(visible).to_numpy(zero_copy_only=False)) // AT_ONCE
+        starts = [*np.flatnonzero(np.diff(sizes, prepend=-1)).tolist(), len(visible)]
+        for start, end in zip(starts, starts[1:]):
+            lines = pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), visible[start:end].cast(pa.string()))
+            ids = self.library(pc.binary_join(lines, "\n")[0].as_py())
+            if np.count_nonzero(ids == self.feed[0]) != end - start - 1:
+                raise ValueError("a line feed is not a token of its own")
+            yield np.append(ids, self.feed)
+
+    def encoded(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where those of each stretch start and how many they are."""
+        is_visible = pc.match_substring_regex(stretches, f"[^{_SPACE}]")
+        seen = is_visible.to_numpy(zero_copy_only=False)
+        blanks = [self.blank(x) for x in stretches.filter(pc.invert(is_visible)).to_pylist()]
+        ids = np.concatenate([*self.lines(stretches.filter(is_visible)), *blanks, self.feed[:0]])
+        n_lines = len(ids) - sum(map(len, blanks))
+        ends = np.flatnonzero(ids[:n_lines] == self.feed[0])
+        starts, counts = np.empty(len(seen), np.int64), np.empty(len(seen), np.int64)
+        starts[seen] = np.concatenate([[0], ends + 1])[:-1]
+        counts[seen] = ends - starts[seen]
+        counts[~seen] = list(map(len, blanks))
+        starts[~seen] = n_lines + np.cumsum(counts[~seen]) - counts[~seen]
+        return ids, starts, counts
+
     def text(self, text: str) -> bytes:
-        young, piece = self.young.get, self.piece
-        return b"".join([young(part) or piece(part) for part in self.split(text)])
+        return next(self.texts(pa.array([text])))
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; none for a null one."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        start = size = 0
+        for end, length in enumerate(pc.binary_length(texts).to_pylist()):
+            if end > start and size + length > LOOKED_UP:
+                yield from self._texts(texts[start:end])
+                start, size = end, 0
+            size += length
+        yield from self._texts(texts[start:])
+
+    def _texts(self, texts: pa.Array) -> Iterator[bytes]:
+        marked = pc.match_substring(texts, MARK) if self.cuts else pa.array([True] * len(texts))  # these can't be cut
+        cut_up = pc.replace_substring_regex(pc.if_else(marked, "", texts), LAST_SPACE, rf"\1{MARK}\2\3")
+        cut_up = pc.replace_substring_regex(cut_up, VISIBLE, rf"{MARK}\0{MARK}")
+        for beside in BESIDE:
+            cut_up = pc.replace_substring_regex(cut_up, beside, rf"\1{MARK}\2")
+        cut_up = pc.split_pattern(pc.replace_substring(cut_up, MARK + MARK, MARK), MARK)
+        numbered = cut_up.flatten().dictionary_encode()
+        ids, starts, counts = self.encoded(numbered.dictionary)
+        numbers, at = numbered.indices.to_numpy(), cut_up.offsets.to_pylist()
+        for i, whole in enumerate(marked.to_pylist()):
+            if whole:
+                yield self.library(texts[i].as_py()).tobytes()
+                continue
+            own = numbers[at[i] : at[i + 1]]
+            n = counts[own]
+            ends = np.cumsum(n)
+            yield ids[np.arange(n.sum()) + np.repeat(starts[own] - ends + n, n)].tobytes()
 
 
 _IDS: dict[tuple[str, str], Ids] = {}
@@ -183,11 +261,12 @@ def pack(
         types = None
         for batch in batches:
             types = [*list(batch.schema)[: len(keep)], *added]
+            encoded = encoder.texts(batch.column(len(keep)))
             for at in range(0, batch.num_rows, ROWS):
                 some, closed = batch.slice(at, ROWS), []
                 columns = [some.column(i).to_pylist() for i in range(len(keep))]
-                for i, text in enumerate(some.column(len(keep)).to_pylist()):
-                    data = encoder.text(text or "") + last
+                for i, data in enumerate(islice(encoded, some.num_rows)):
+                    data += last
                     closed += packer.add((*[c[i] for c in columns], len(data) // TOKEN), 0, data)
                 yield rows(types, part, 0, list(enumerate(closed, number)), ids)
                 number += len(closed)
