@@ -87,3 +87,40 @@ def test_colliding_keys_are_told_apart(spark, monkeypatch):
     usual = sorted(map(str, line_dedup.line_dedup(table(spark, texts)).collect()))
     monkeypatch.setattr(F, "xxhash64", weak)
     assert sorted(map(str, line_dedup.line_dedup(table(spark, texts)).collect())) == usual
+
+
+def passages(texts, ids):
+    """The texts that stay, by pairs of neighbouring lines."""
+    seen, out = {}, {}
+    for i, text in sorted(zip(ids, texts)):
+        lines = (text or "").split("\n")
+        at = [k for k, x in enumerate(lines) if re.search(r"[^ \t-\r]", x)]
+        gone = set()
+        for a, b in zip(at, at[1:]):
+            if seen.setdefault("\n".join(lines[a : b + 1]), (i, a)) != (i, a):
+                gone |= set(range(a, b + 1))
+        out[i] = text if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("roll,divisor", [(2, 4), (1, 2), (3, 50)])
+def test_passages_are_found_by_chunks_and_beyond_them(spark, monkeypatch, roll, divisor):
+    asked, real = [], line_dedup.repeated_chunks
+    monkeypatch.setattr(line_dedup, "repeated_chunks", lambda *a: asked.append(a) or real(*a))
+    texts = texts_of(7)
+    ids = random.sample(range(1000), len(texts))
+    rows = line_dedup.passage_dedup(table(spark, texts, ids), roll, divisor).collect()
+    assert {r.doc_id: r.text for r in rows} == passages(texts, ids) and len(asked) == 1
+
+
+def test_pairs_with_colliding_keys_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def weak(*cols):  # every chunk and pair has one key
+        return F.lit(7).cast("bigint") if cols == ("chunk",) else real(*cols)
+
+    real = F.xxhash64
+    texts = texts_of(8)
+    monkeypatch.setattr(F, "xxhash64", weak)
+    rows = line_dedup.passage_dedup(table(spark, texts)).collect()
+    assert {r.doc_id: r.text for r in rows} == passages(texts, range(len(texts)))

@@ -6,7 +6,9 @@ Chunks of several lines are counted by hash over the whole corpus; the texts of
 repeated hashes are compared byte by byte before any is removed.
 
 Chunks find a short passage only if boundaries fall inside it. ``passage_dedup``
-needs no boundaries: it compares every two neighbouring lines.
+takes out repeated chunks, and follows the passages beyond them line by line:
+what no repeated chunk covers is compared by pairs of neighbouring lines, so
+that none is missed.
 """
 
 from __future__ import annotations
@@ -35,27 +37,26 @@ def _rolled(hashes: Column, i: Column, roll: int) -> Column:
     return sum((F.coalesce(F.get(hashes, i - k), F.lit(0).cast("bigint")) * BASE**k for k in range(1, roll)), F.get(hashes, i))
 
 
-def _chunks(text: Column, roll: int = ROLL, divisor: int = DIVISOR) -> Column:
-    """The chunks of a text, each an array of lines."""
+def _ends(lines: Column, roll: int, divisor: int) -> Column:
+    """The numbers of the lines that end a chunk."""
+    return let(
+        F.transform(lines, _line_hash),
+        lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (_rolled(h, i, roll) % divisor == 0) | (i == F.size(h) - 1)),
+    )
+
+
+def _start(ends: Column, k: Column) -> Column:
+    """The first line of chunk k."""
+    return F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
 
-    def ends(lines: Column) -> Column:
-        return let(
-            F.transform(lines, _line_hash),
-            lambda h: F.filter(
-                F.sequence(F.lit(0), F.size(h) - 1), lambda i: (_rolled(h, i, roll) % divisor == 0) | (i == F.size(h) - 1)
-            ),
-        )
 
+def _chunks(text: Column, roll: int = ROLL, divisor: int = DIVISOR) -> Column:
+    """The chunks of a text, each an array of lines."""
     return let(
         F.split(F.coalesce(text, F.lit("")), "\n"),
         lambda lines: let(
-            ends(lines),
-            lambda e: F.transform(
-                e,
-                lambda end, k: let(
-                    F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1), lambda start: F.slice(lines, start + 1, end - start + 1)
-                ),
-            ),
+            _ends(lines, roll, divisor),
+            lambda e: F.transform(e, lambda end, k: let(_start(e, k), lambda start: F.slice(lines, start + 1, end - start + 1))),
         ),
     )
 
@@ -134,47 +135,98 @@ def line_dedup(documents: DataFrame, min_lines: int = MIN_LINES, roll: int = ROL
     return _with_removed(documents, removed, added)
 
 
-def _pairs(text: Column) -> Column:
-    """Neighbouring lines with a word, and the blank ones between them: first and last line, key."""
+def _between(lines: Column, a: Column, b: Column) -> Column:
+    """The text from line a to line b."""
+    return F.array_join(F.slice(lines, a + 1, b - a + 1), "\n")
+
+
+def _pairs(text: Column, roll: int, divisor: int) -> Column:
+    """Neighbouring lines with a word, and the blank ones between them: first and last line, the chunk that both are in, text."""
+
+    def pairs(lines: Column, at: Column, chunk: Column) -> Column:
+        return F.transform(
+            F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))),
+            lambda a, k: let(
+                F.get(at, k + 1),
+                lambda b: F.struct(
+                    a.alias("a"),
+                    b.alias("b"),
+                    F.when(F.get(chunk, a) == F.get(chunk, b), F.get(chunk, a)).alias("at"),
+                    _between(lines, a, b).alias("chunk"),
+                ),
+            ),
+        )
+
+    def chunk_of(lines: Column) -> Column:
+        return let(
+            _ends(lines, roll, divisor),
+            lambda e: F.flatten(F.transform(e, lambda end, k: F.array_repeat(k, end - _start(e, k) + 1))),
+        )
+
     return let(
         F.split(F.coalesce(text, F.lit("")), "\n"),
         lambda lines: let(
             F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^ \t-\r]")),
-            lambda at: F.transform(
-                F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))),
-                lambda a, k: let(
-                    F.get(at, k + 1),
-                    lambda b: F.struct(
-                        a.alias("a"),
-                        b.alias("b"),
-                        F.unhex(F.sha2(F.array_join(F.slice(lines, a + 1, b - a + 1), "\n"), 256)).alias("key"),
-                    ),
-                ),
-            ),
+            lambda at: let(chunk_of(lines), lambda chunk: pairs(lines, at, chunk)),
         ),
     )
 
 
-def passage_dedup(documents: DataFrame) -> DataFrame:
+def repeated_pairs(documents: DataFrame, roll: int = ROLL, divisor: int = DIVISOR) -> DataFrame:
+    """(doc_id, hash, a, b): pairs of neighbouring lines with a word that also stand at a smaller (doc_id, hash, a).
+
+    Those inside a repeated chunk are known from it. Each also stands in the
+    chunk that stays, so no first place is among them, and only the others are
+    compared: by a 64-bit key, and where a key is repeated by their texts, which
+    are grouped byte by byte.
+    """
+    chunks = repeated_chunks(documents, MIN_LINES, roll, divisor).withColumn("inside", F.lit(True))
+    named = documents.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    pairs = named.select("doc_id", "hash", F.explode(_pairs(F.col("text"), roll, divisor)).alias("pair")).select("doc_id", "hash", "pair.*")
+    keyed = pairs.withColumn("key", F.xxhash64("chunk")).drop("chunk")
+    keyed = cut(keyed.join(chunks, ["doc_id", "hash", "at"], "left"))
+    others, place = keyed.filter("inside is null"), F.struct("doc_id", "hash", "a")
+    groups = others.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
+    members = cut(others.join(groups.select("key", "first"), "key").select("doc_id", "hash", "a", "b", "key", "first"))
+    wanted = members.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("a", "b", "key")).alias("wanted"))
+    texts = (
+        named.join(wanted, ["doc_id", "hash"])
+        .select(
+            "doc_id",
+            "hash",
+            F.explode(
+                let(
+                    F.split("text", "\n"),
+                    lambda lines: F.transform("wanted", lambda r: F.struct(r["a"].alias("a"), r["key"].alias("key"), _between(lines, r["a"], r["b"]).alias("chunk"))),
+                )
+            ).alias("pair"),
+        )
+        .select("doc_id", "hash", "pair.*")
+    )
+    mixed = cut(texts.select("key", "chunk").distinct().groupBy("key").count().filter("count > 1").select("key"))
+    found = keyed.filter("inside").select("doc_id", "hash", "a", "b")
+    later = members.filter(F.col("first") != place)
+    if not mixed.isEmpty():
+        told = texts.join(mixed, "key")
+        firsts = told.groupBy("key", "chunk").agg(F.min(place).alias("first"))
+        again = told.join(firsts, ["key", "chunk"]).filter(F.col("first") != place).select("doc_id", "hash", "a", "key")
+        later = later.join(mixed, "key", "left_anti").unionByName(members.join(again, ["doc_id", "hash", "a", "key"], "left_semi").select(later.columns))
+    return found.unionByName(later.select("doc_id", "hash", "a", "b"))
+
+
+def passage_dedup(documents: DataFrame, roll: int = ROLL, divisor: int = DIVISOR) -> DataFrame:
     """``documents`` with every repeated passage of two or more lines taken out of ``text``, and the column n_removed.
 
     A line is removed if it lies in two neighbouring lines with words that also
     stand, with the same blank lines between them, at a smaller (doc_id, text
-    hash, line); so each passage stays once, wherever it begins and ends. Pairs
-    are equal if their SHA-256 is. Passages with one line that holds a word
+    hash, line); so each passage stays once, wherever it begins and ends.
+    Repeated chunks are found first, then the pairs of lines outside them; texts
+    are compared byte by byte. Passages with one line that holds a word
     stay. Null texts stay null. Rows with one doc_id and one text count as one
     document; rows without an id are left as they are.
     """
-    pairs = (
-        documents.filter("doc_id is not null")
-        .select("doc_id", F.xxhash64("text").alias("hash"), F.explode(_pairs(F.col("text"))).alias("pair"))
-        .select("doc_id", "hash", "pair.*")
-    )
-    at = F.struct("doc_id", "hash", "a")
-    groups = pairs.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first != last")
     removed = (
-        pairs.join(groups.select("key", "first"), "key")
-        .filter(F.col("first") != at)
+        repeated_pairs(documents, roll, divisor)
         .groupBy("doc_id", "hash")
         .agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
         .select(
